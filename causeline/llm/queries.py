@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, near_dup, packing, secrets
+from . import decontam, lang_id, line_dedup, near_dup, packing, secrets, token_count, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,22 +33,37 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return decontam.verdicts(found).drop("spans")
 
 
+def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.report(_read(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_near_dup": op2_near_dup,
         "op3_packing": op3_packing,
+        "op4_token_count": op4_token_count,
         "op5_decontam": op5_decontam,
+        "op7_lang_id": op7_lang_id,
         "op9_secrets": op9_secrets,
+        "op10_toxicity": op10_toxicity,
     }
 
 
