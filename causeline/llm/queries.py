@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lang_id, line_dedup, near_dup, packing, secrets, token_count, toxicity
+from . import decontam, embed_dup, lang_id, line_dedup, near_dup, packing, secrets, token_count, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.verdicts(found).drop("spans")
 
 
+def op6_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.link(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.report(_read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_token_count": op4_token_count,
         "op5_decontam": op5_decontam,
+        "op6_embed_dup": op6_embed_dup,
         "op7_lang_id": op7_lang_id,
         "op9_secrets": op9_secrets,
         "op10_toxicity": op10_toxicity,
@@ -130,5 +135,22 @@ FROM t LEFT JOIN a USING (doc_id)
 """
 
 
+OP6 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, list_contains(embedding, NULL) OR len(embedding) = 0 AS bad FROM embeddings WHERE vec_id IS NOT NULL),
+ok AS (
+  SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT DISTINCT a AS id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON r.id = l.a),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.root, v.vec_id) AS component_id, coalesce(c.root, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN c ON v.vec_id = c.id LEFT JOIN n ON v.vec_id = n.id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op5_decontam": OP5, "op9_secrets": _op9()}
+    return {"op1_line_dedup": OP1, "op5_decontam": OP5, "op6_embed_dup": OP6, "op9_secrets": _op9()}
