@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dup, lang_id, line_dedup, near_dup, packing, secrets, token_count, toxicity
+from . import brown_lm, decontam, embed_dup, lang_id, line_dedup, near_dup, packing, secrets, token_count, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.report(_read(spark, sf_dir, "documents"))
 
 
+def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.report(_read(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_read(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontam": op5_decontam,
         "op6_embed_dup": op6_embed_dup,
         "op7_lang_id": op7_lang_id,
+        "op8_brown_lm": op8_brown_lm,
         "op9_secrets": op9_secrets,
         "op10_toxicity": op10_toxicity,
     }
