@@ -8,8 +8,9 @@ point lands in one of ``slots`` registers, which keep the earliest point; a shin
 point is later than all registers (early termination).
 
 Texts with the same words are one class from the start, so copies are never paired. Registers are read in bands; in
-each bucket the members are first held against one pivot, and only buckets that are then still in several components
-hold the members outside the pivot's component against the others. Every pair is verified exactly.
+each bucket the members are first held against one pivot. Buckets that are then still in several components hold the
+members of each against the others': small ones by pairs, large ones in pairs of blocks, without making the pairs. Every
+link is verified exactly.
 
 Defined results: a null or empty text is in a class of its own; texts without words are in one class if equal;
 repeated rows of a doc_id are one document each, with equal classes; ties go to the smallest doc_id; an empty
@@ -33,6 +34,8 @@ from ._text import Words, mix, words
 WORDS, SIMILARITY = 5, 0.8
 #: At 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 25 = 5e-5.
 BANDS, ROWS = 25, 5
+#: Buckets up to this size may pair their members; larger ones are compared in blocks of so many rows or bytes of shingles at most.
+SMALL_BUCKET, BLOCK_ROWS, BLOCK_BYTES = 48, 256, 8 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MULT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -142,22 +145,23 @@ def shingle_sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, keys binary, weights binary")
 
 
+def _unpack(k: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    key = np.frombuffer(k, np.uint64)
+    return key, np.frombuffer(w, np.uint32) if w else np.ones(len(key), np.uint32)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose similarity is at least ``least``."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("keys").alias(f"k{c}"), F.col("weights").alias(f"w{c}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ka", "wa", "kb", "wb")
 
-    def unpack(k: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
-        key = np.frombuffer(k, np.uint64)
-        return key, np.frombuffer(w, np.uint32) if w else np.ones(len(key), np.uint32)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(k) for k in range(2, 6)]
             keep = []
             for row in zip(*cols):
                 ka, wa, kb, wb = (x.as_py() for x in row)
-                a, b = unpack(ka, wa), unpack(kb, wb)
+                a, b = _unpack(ka, wa), _unpack(kb, wb)
                 keep.append(similarity(*a, *b) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -176,28 +180,29 @@ def classes(docs: DataFrame, least: float = SIMILARITY, n: int = WORDS, bands: i
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = cut(shingle_sets(texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi"), n).dropDuplicates(["id"]))
 
-    comp = None
     star = members.filter("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("shared"))
     best = star.groupBy("rep").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
-    steps = (
-        lambda c: best.select(F.col("rep").alias("a"), F.col("pivot").alias("b")),
-        lambda c: _apart(star.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), c),
-        lambda c: _rest(members, c),
-    )
-    for step in steps:
-        pairs = cut(step(comp))
-        if not has_rows(pairs):
-            continue
-        new = cut(verify(pairs, sets, least))
-        if not has_rows(new):
-            continue
-        links = new if comp is None else comp.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new)
-        comp = cut(components(links))
+    comp = _join_up(None, verify(best.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), sets, least))
+    comp = _join_up(comp, verify(_apart(star.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), comp), sets, least))
+    small, large = _open(members, comp)
+    comp = _join_up(comp, verify(small, sets, least))
+    if has_rows(large):
+        comp = _join_up(comp, _in_blocks(large, comp, sets, least))
     reps = firsts.join(comp, F.col("rep") == F.col("id"), "left") if comp is not None else firsts.withColumn("component", F.lit(None).cast("long"))
     reps = reps.select("digest", F.coalesce("component", "rep").alias("class_id"))
     return sketched.join(reps, "digest").select("doc_id", "class_id")
 
 
+def _join_up(comp: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Components so far, with more links."""
+    links = cut(links)
+    if not has_rows(links):
+        return comp
+    if comp is not None:
+        links = links.unionByName(comp.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return cut(components(links))
+
+
 def _with_component(members: DataFrame, comp: DataFrame | None, col: str) -> DataFrame:
     if comp is None:
         return members.withColumn(f"{col}_comp", F.col(col))
@@ -211,19 +216,88 @@ def _apart(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
     return both.filter("a_comp <> b_comp").select("a", "b")
 
 
-def _rest(members: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """In buckets of several components: members outside the largest component, each with the members of other components.
+def _open(members: DataFrame, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Buckets that are still in several components: pairs (a, b) of the small ones, (rep, pivot) of the large ones.
 
-    The pivot has met all members, so it is left out; a member of the largest component never meets its own kind.
+    The pivot has met all members, so it is left out of the pairs. A member of the largest component meets only others.
     """
     known = _with_component(members, comp, "rep")
     size = known.groupBy("band", "rep_comp").agg(F.count(F.lit(1)).alias("n"))
-    main = size.groupBy("band").agg(F.max_by("rep_comp", F.struct("n", "rep_comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    here = known.join(main, "band").filter("rep <> pivot").select("band", "rep", "rep_comp", "main")
-    left = here.filter("rep_comp <> main").select("band", F.col("rep").alias("a"), F.col("rep_comp").alias("a_comp"))
-    right = here.select("band", F.col("rep").alias("b"), F.col("rep_comp").alias("b_comp"), "main")
+    main = size.groupBy("band").agg(F.max_by("rep_comp", F.struct("n", "rep_comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"))
+    here = cut(known.join(main.filter("comps > 1"), "band").select("band", "rep", "pivot", "rep_comp", "main", "n"))
+    small = here.filter(f"n <= {SMALL_BUCKET} and rep <> pivot")
+    left = small.filter("rep_comp <> main").select("band", F.col("rep").alias("a"), F.col("rep_comp").alias("a_comp"))
+    right = small.select("band", F.col("rep").alias("b"), F.col("rep_comp").alias("b_comp"), "main")
     pairs = left.join(right, "band").filter("a_comp <> b_comp and (b_comp = main or a < b)")
-    return pairs.select("a", "b").distinct()
+    large = here.filter(f"n > {SMALL_BUCKET}").select("rep", "pivot").distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), large
+
+
+def _in_blocks(large: DataFrame, comp: DataFrame | None, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join all components which links within large buckets join.
+
+    Buckets that share members are one group; its members are dealt into blocks of bounded size, and each pair of blocks is
+    one task that counts shared shingles by an inverted index. It returns a spanning forest, so neither the pairs nor a
+    group ever stand in one place.
+    """
+    groups = components(large.filter("rep <> pivot"), "rep", "pivot").withColumnRenamed("component", "grp")
+    full = _with_component(groups.withColumnRenamed("id", "rep"), comp, "rep").join(sets, F.col("rep") == F.col("id")).drop("id")
+    sizes = full.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("keys")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = full.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "rep_comp", "keys", "weights")
+
+    def one(table: pa.Table) -> pa.Table:
+        first = table.column("block").to_numpy() == table.column("i")[0].as_py()
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        rep, tag = table.column("rep").to_numpy(), table.column("rep_comp").to_numpy()
+        held = [_unpack(k.as_py(), w.as_py()) for k, w in zip(table.column("keys"), table.column("weights"))]
+        a = np.flatnonzero(first)
+        b = a if same else np.flatnonzero(~first)
+        links = _forest(a, b, rep, tag, held, least)
+        return pa.table({"a": pa.array([int(rep[x]) for x, _ in links], pa.int64()), "b": pa.array([int(rep[y]) for _, y in links], pa.int64())})
+
+    return dealt.groupBy("grp", "i", "j").applyInArrow(one, "a long, b long")
+
+
+def _forest(a: np.ndarray, b: np.ndarray, rep: np.ndarray, tag: np.ndarray, held: list, least: float) -> list[tuple[int, int]]:
+    """Links between rows of a and rows of b that join components (tags) not joined yet."""
+    links: list[tuple[int, int]] = []
+    if not len(a) or not len(b):
+        return links
+    _, part = np.unique(tag, return_inverse=True)
+    part = part.copy()
+    key = np.concatenate([held[y][0] for y in b])
+    weight = np.concatenate([held[y][1] / held[y][1].sum() if len(held[y][1]) else held[y][1] for y in b])
+    owner = np.repeat(np.arange(len(b)), [len(held[y][0]) for y in b])
+    order = np.argsort(key, kind="stable")
+    key, weight, owner = key[order], weight[order], owner[order]
+    size = np.array([len(held[y][0]) for y in b])
+    unit = np.array([(held[y][1] == 1).all() for y in b])
+    for x in a:
+        if (part[b] == part[x]).all():
+            continue
+        kx, wx = held[x]
+        lo, hi = np.searchsorted(key, kx, "left"), np.searchsorted(key, kx, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        who = owner[at]
+        if (wx == 1).all():
+            shared = np.bincount(who, minlength=len(b))
+            value = np.where(unit, shared / np.maximum(len(kx) + size - shared, 1), 2.0)
+        else:
+            value = np.full(len(b), 2.0)
+        mixed = np.flatnonzero(value > 1.5)
+        if len(mixed):  # the overlap of the normalised weights bounds the index from above
+            bound = np.bincount(who, np.minimum(np.repeat(wx / wx.sum(), n), weight[at]), len(b))
+            value[mixed] = 0.0
+            for k in mixed[bound[mixed] >= least - 1e-9]:
+                value[k] = similarity(kx, wx, *held[b[k]])
+        for k in np.flatnonzero(value >= least):
+            if part[b[k]] != part[x]:
+                links.append((x, b[k]))
+                part[part == part[b[k]]] = part[x]
+    return links
 
 
 def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
