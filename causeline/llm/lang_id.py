@@ -226,6 +226,19 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
+def known_only(docs: DataFrame, models: Models) -> DataFrame:
+    """The rows of ``docs`` whose language is found, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    limit = max(1 << 16, SLICE_BYTES * 4 // max(4, len(models.langs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, limit=limit):
+                yield part.filter(pa.array([p != UND for p in predict(shared.value, text_column(part))[0]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_rows(docs: DataFrame) -> DataFrame:
     """Labelled rows that may teach: lang not null, crc32(doc_id as text) mod 4 not 2."""
     return docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket(F.col("doc_id"), 4) != 2))

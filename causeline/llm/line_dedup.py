@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._spark import cut
 
@@ -206,25 +207,25 @@ def find_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         filters = spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in build_filters(common, shards).toLocalIterator()})
     again = postings(docs, min_chars, filters, shards)
     lost = again.join(common.drop("refs"), "key").filter(F.col("doc_id") < F.col("keeper"))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop_keys"))
+    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("__drop_keys"))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, unique_ids: bool = True) -> DataFrame:
-    """All columns of ``docs`` with ``text`` rewritten, plus ``n_lines`` and ``n_dropped`` (long)."""
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, unique_ids: bool = True, counts: bool = True) -> DataFrame:
+    """All columns of ``docs`` with ``text`` rewritten; with ``counts`` also ``n_lines`` and ``n_dropped`` (long), in place of columns so named."""
     lost = find_drops(docs, min_chars, min_docs, unique_ids).withColumnRenamed("doc_id", "__lost_id")
     both = docs.join(lost.hint("shuffle_hash"), F.col("doc_id") == F.col("__lost_id"), "left").drop("__lost_id")
-    return rewrite(both, docs, min_chars)
+    return rewrite(both, min_chars, counts)
 
 
-def rewrite(both: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
-    """Drop from each text the lines whose key is in ``drop_keys``."""
-    if {"n_lines", "n_dropped"} & set(docs.columns):
-        both = both.drop("n_lines", "n_dropped")
-    names = [c for c in both.columns if c != "drop_keys"]
-    schema = both.select(*names).schema.add("n_lines", "long").add("n_dropped", "long")
+def rewrite(both: DataFrame, min_chars: int, counts: bool = True) -> DataFrame:
+    """Drop from each text the lines whose key is in ``__drop_keys``."""
+    more = ["n_lines", "n_dropped"] if counts else []
+    both = both.drop(*more)
+    names = [c for c in both.columns if c != "__drop_keys"]
+    schema = T.StructType([*both.select(*names).schema.fields, *(T.StructField(c, T.LongType()) for c in more)])
     order = both.columns
     at = order.index("text")
-    key_at = both.columns.index("drop_keys")
+    key_at = both.columns.index("__drop_keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,9 +245,10 @@ def rewrite(both: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
                     raw = b"\n".join(kept)
                 out.append(raw)
                 gone.append(n)
-            cols = [batch.column(k) for k, c in enumerate(order) if c != "drop_keys"]
+            cols = [batch.column(k) for k, c in enumerate(order) if c != "__drop_keys"]
             cols[names.index("text")] = pa.array(out, pa.binary()).cast(text.type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            cols += [pa.array(total, pa.int64()), pa.array(gone, pa.int64())][: len(more)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *more])
 
     return both.mapInArrow(run, schema)
 
@@ -310,9 +312,9 @@ class LineIndex:
         if (self.table("filters").agg(F.sum(F.length("blob"))).first()[0] or 0) <= FILTER_BROADCAST_BYTES:
             filters = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in self.table("filters").toLocalIterator()})
         lost = postings(docs, self.min_chars, filters, self.shards).join(common, "key").filter(F.col("doc_id") < F.col("keeper"))
-        lost = lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop_keys")).withColumnRenamed("doc_id", "__lost_id")
+        lost = lost.groupBy("doc_id").agg(F.collect_set("key").alias("__drop_keys")).withColumnRenamed("doc_id", "__lost_id")
         both = docs.join(lost.hint("shuffle_hash"), F.col("doc_id") == F.col("__lost_id"), "left").drop("__lost_id")
-        return rewrite(both, docs, self.min_chars)
+        return rewrite(both, self.min_chars)
 
 
 def digest(docs: DataFrame) -> DataFrame:

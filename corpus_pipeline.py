@@ -23,12 +23,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found (no text, or no letter in it) go."""
     models = lang_id.fit(lang_id.train_rows(docs))
-    return lang_id.identify(docs, models).filter(F.col("lang_pred") != lang_id.UND).select(*docs.columns)
+    return lang_id.known_only(docs, models)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines common to several documents stay in one; n_chars follows the text."""
-    out = line_dedup.dedup(docs).select(*docs.columns)
+    out = line_dedup.dedup(docs, counts=False).select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

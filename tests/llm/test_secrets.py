@@ -1,0 +1,56 @@
+import hashlib
+import re
+
+from causeline.llm.secrets import RULES, BlobLedger, Rule, report
+
+ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute(text):
+    text = text or ""
+    out = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
+
+
+TEXTS = [
+    "", None, "password=short and password = 'longenough1'", "token=token:abcdefgh12", "API_KEY: \"abc/def+123==\" ApiKey=xxxxxxxxx", "AKIAAKIAABCDEFGHIJ AKIAX AKIA",
+    "😀é " + "0123456789abcdef" * 2 + "g" + "f" * 31 + " " + "a" * 64, "secret==abcdefgh secret:=abcdefgh", "passwordpassword=abcdefgh", "token = \"" + "ab12" * 10 + "\"", "x" * 5000 + " token=" + "y" * 3000,
+    "Secret\n=abcdefgh", "-----BEGIN RSA PRIVATE KEY-----", "passwd'  :  'abc.def-g_h' tail",
+]
+
+
+def test_brute_force(spark):
+    rows = [(k, t) for k, t in enumerate(TEXTS * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for r in report(df).collect():
+        want = brute(dict(rows)[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (r, want)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in want.split(",")) for k in ("assign", "access", "hex"))
+        assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+
+
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
+    df = spark.createDataFrame([(1, "token=abcdefgh1"), (2, "token=abcdefgh1"), (3, "clean")], "doc_id long, text string")
+    ledger = BlobLedger(spark, str(tmp_path / "ledger"))
+    assert ledger.unseen(df).count() == 2
+    assert {r.path: len(r.spans) for r in ledger.by_path(df).collect()} == {1: 1, 2: 1, 3: 0}
+    assert ledger.unseen(df).count() == 0
+    more = df.unionByName(spark.createDataFrame([(3, "clean password=abcdefgh2"), (4, "clean")], df.schema))
+    assert ledger.unseen(more).count() == 1
+    got = sorted((r.path, len(r.spans)) for r in ledger.by_path(more).collect())
+    assert got == [(1, 1), (2, 1), (3, 0), (3, 1), (4, 0)]
+    # a new version of one rule: all blobs once more, for that rule alone
+    newer = (*RULES[1:], Rule("assign", 2, RULES[0].pattern, 3, RULES[0].hints))
+    again = BlobLedger(spark, str(tmp_path / "ledger"), newer)
+    todo = again.unseen(more).collect()
+    assert len(todo) == 3 and all([tuple(p) for p in r.todo] == [("assign", 2)] for r in todo)
+
+
+def test_odd_rows(odd_docs, no_docs):
+    out = report(odd_docs)
+    assert out.count() == odd_docs.count()
+    r = out.filter("doc_id = 15").first()
+    assert (r.n_assign, r.n_access, r.n_hex) == (1, 1, 1)
+    assert report(no_docs).count() == 0
