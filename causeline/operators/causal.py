@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Critical values of chi square with one degree of freedom.
 CRITICAL = {0.05: 3.841458820694124, 0.01: 6.634896601021214, 0.001: 10.827566170662733}
 
+LIMIT = 0.9999999999
+
 
 # --- order 0 ---
 
@@ -53,7 +55,8 @@ def fisher_pairs(cells: DataFrame, bins: int, *by: str) -> DataFrame:
     cov = n * F.col("p") - F.col("s1") * F.col("s2")
     var = (n * F.col("q1") - F.col("s1") * F.col("s1")) * (n * F.col("q2") - F.col("s2") * F.col("s2"))
     r = F.when(var > 0, cov / F.sqrt(var)).otherwise(0.0)
-    out = out.withColumn("r", r)
+    # a perfect correlation is taken a little below one, so that z stays finite
+    out = out.withColumn("r", F.least(F.greatest(r, F.lit(-LIMIT)), F.lit(LIMIT)))
     return out.withColumn("z", F.sqrt(F.lit(n - 3)) * 0.5 * F.log1p(2 * F.col("r") / (1 - F.col("r")))).select(*by, "e1", "e2", "r", "z")
 
 
@@ -96,7 +99,7 @@ def fisherz_test(corr: np.ndarray, n: int, x: int, y: int, s: tuple[int, ...]) -
     inv = np.linalg.pinv(corr[np.ix_(at, at)])
     scale = math.sqrt(abs(inv[0, 0] * inv[1, 1]))
     r = -inv[0, 1] / scale if scale > 0 else 0.0
-    r = min(max(r, -0.9999999999), 0.9999999999)
+    r = min(max(r, -LIMIT), LIMIT)
     z = math.sqrt(max(n - len(s) - 3, 0)) * 0.5 * math.log1p(2 * r / (1 - r))
     return math.erfc(abs(0.0 if math.isnan(z) else z) / math.sqrt(2))
 

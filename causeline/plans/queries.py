@@ -748,8 +748,9 @@ def ci_gsq_order0(spark, d):
 
 
 @query("""WITH s AS (SELECT term, e, sum(cnt)::DOUBLE AS s, sum(cnt * cnt)::DOUBLE AS q FROM tcells GROUP BY ALL), p AS (SELECT a.term, a.e AS e1, b.e AS e2, sum(a.cnt * b.cnt)::DOUBLE AS p FROM tcells a JOIN tcells b ON a.term = b.term AND a.bin = b.bin AND a.e < b.e GROUP BY ALL),
-  r AS (SELECT x.term, x.e AS e1, y.e AS e2, CASE WHEN (144.0 * x.q - x.s * x.s) * (144.0 * y.q - y.s * y.s) > 0 THEN (144.0 * coalesce(p, 0) - x.s * y.s) / sqrt((144.0 * x.q - x.s * x.s) * (144.0 * y.q - y.s * y.s)) ELSE 0 END AS r FROM s x JOIN s y ON x.term = y.term AND x.e < y.e LEFT JOIN p ON p.term = x.term AND p.e1 = x.e AND p.e2 = y.e)
-  SELECT term, e1, e2, round(r, 6) + 0.0 AS r, round(sqrt(141.0) * 0.5 * ln(1 + 2 * r / (1 - r)), 6) + 0.0 AS z FROM r""", "tcells")
+  r AS (SELECT x.term, x.e AS e1, y.e AS e2, CASE WHEN (144.0 * x.q - x.s * x.s) * (144.0 * y.q - y.s * y.s) > 0 THEN (144.0 * coalesce(p, 0) - x.s * y.s) / sqrt((144.0 * x.q - x.s * x.s) * (144.0 * y.q - y.s * y.s)) ELSE 0 END AS r FROM s x JOIN s y ON x.term = y.term AND x.e < y.e LEFT JOIN p ON p.term = x.term AND p.e1 = x.e AND p.e2 = y.e),
+  c AS (SELECT term, e1, e2, least(greatest(r, -0.9999999999), 0.9999999999) AS r FROM r)
+  SELECT term, e1, e2, round(r, 6) + 0.0 AS r, round(sqrt(141.0) * 0.5 * ln(1 + 2 * r / (1 - r)), 6) + 0.0 AS z FROM c""", "tcells")
 def ci_fisherz_order0(spark, d):
     out = causal.fisher_pairs(v.term_cells(spark, d), v.TERM_DAYS * 24, "term")
     return _names(out, "e1", "e2").withColumns({c: F.round(c, 6) + 0.0 for c in ("r", "z")})

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import floor_time, from_epoch, restore_message
+from ..plans.checkpoint import cut
 
 SCHEMAS = {
     "log": "lid long, ltid int, dt timestamp_ntz, host string, words array<string>",
@@ -61,8 +62,7 @@ class LogStore:
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Overwrite a dimension (K4, K5). The rows may come from the table itself."""
-        rows = rows.sparkSession.createDataFrame(rows.toArrow(), rows.schema) if name != "log" else rows
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        cut(rows).write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     # --- scans ---
 
