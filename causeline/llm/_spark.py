@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows in an Arrow batch at most: whole texts are in it, on both sides of the pipe.
+BATCH_ROWS = 1000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -25,13 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def has_rows(df: DataFrame) -> bool:
-    return bool(df.take(1))
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from here on the session makes Arrow batches of ``BATCH_ROWS`` rows at most."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
 
 
-def tasks_for(spark: SparkSession) -> int:
-    """Number of tasks for a repartition: what the session sets for shuffles."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def has_rows(df: DataFrame) -> bool:
+    return bool(df.take(1))
 
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, slices, text_column
+from ._spark import cut, slices, small_batches, text_column
 from ._text import BLANK, Words, words
 
 CORE, ENDINGS, CLASSES = 768, 255, 64
@@ -85,7 +85,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         if docs:
             yield _counts(np.array([END_HASH]).view(np.uint64), np.array([END_UNIT]), np.array([docs]))
 
-    return texts.select("text").mapInArrow(run, "h long, unit int, c long").groupBy("h").agg(F.min("unit").alias("unit"), F.sum("c").alias("c"))
+    return small_batches(texts).select("text").mapInArrow(run, "h long, unit int, c long").groupBy("h").agg(F.min("unit").alias("unit"), F.sum("c").alias("c"))
 
 
 def _counts(k: np.ndarray, u: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
@@ -292,7 +292,7 @@ def score_common(docs: DataFrame, model: Model) -> DataFrame:
                 cols = [part.column(0), pa.array(n), pa.array(np.add.reduceat(known, first)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import slices, text_column
+from ._spark import slices, small_batches, text_column
 from ._text import words
 
 WINDOW = 13
@@ -129,7 +129,7 @@ def _scan_block(docs: DataFrame, items: list[tuple[str, str]], window: int) -> D
                 cols = [part.column(0), pa.array(w.counts(), pa.int64()), pa.array(spans, pa.list_(kind)), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "spans", "items"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 _kept: dict[str, ItemAutomaton] = {}
@@ -192,4 +192,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wor
                     keep.append(not (hit and 20 * hit >= hi - lo))
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._spark import cut, has_rows
+from ._spark import cut, has_rows, small_batches
 
 LEAST = 0.98
 #: Vectors that centroids and codebooks are fitted on, about; every vector is indexed.
@@ -127,7 +127,7 @@ def packed(vectors: DataFrame) -> DataFrame:
             cols = [batch.column(0), batch.column(2), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "label", "dim", "key", "blob"])
 
-    source = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    source = small_batches(vectors).filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     return source.mapInArrow(run, "vec_id long, label long, dim int, key binary, blob binary")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import SLICE_BYTES, raw, slices, text_column
+from ._spark import SLICE_BYTES, raw, slices, small_batches, text_column
 
 FEATURES = 1 << 16
 #: Labelled documents a language that the models are fitted on, about.
@@ -179,7 +179,7 @@ def bucket(doc_id: Column, mod: int) -> Column:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Models:
     """Models from rows (doc_id, text, lang), lang not null."""
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in small_batches(labelled).groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return Models([], np.zeros((FEATURES, 0)))
@@ -213,7 +213,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     clash = [c for c in ("lang_pred", "lang_score", "languages") if c in docs.columns]
     docs = docs.drop(*clash)
     names = docs.columns
-    limit = max(1 << 16, SLICE_BYTES * 4 // max(4, len(models.langs)))
+    limit = max(1 << 16, SLICE_BYTES * 8 // max(4, len(models.langs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,20 +223,20 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "lang_score", "languages"])
 
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("languages", T.MapType(T.StringType(), T.DoubleType()))]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
 def known_only(docs: DataFrame, models: Models) -> DataFrame:
     """The rows of ``docs`` whose language is found, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    limit = max(1 << 16, SLICE_BYTES * 4 // max(4, len(models.langs)))
+    limit = max(1 << 16, SLICE_BYTES * 8 // max(4, len(models.langs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=limit):
                 yield part.filter(pa.array([p != UND for p in predict(shared.value, text_column(part))[0]], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def train_rows(docs: DataFrame) -> DataFrame:

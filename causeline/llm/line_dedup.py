@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import cut
+from ._spark import cut, small_batches
 
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -159,7 +159,7 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS, filters=None, shards:
                 ids, keys = [ids[k] for k in at], [keys[k] for k in at]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key binary, doc_id long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key binary, doc_id long")
 
 
 def reference_counts(posted: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def rewrite(both: DataFrame, min_chars: int, counts: bool = True) -> DataFrame:
             cols += [pa.array(total, pa.int64()), pa.array(gone, pa.int64())][: len(more)]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *more])
 
-    return both.mapInArrow(run, schema)
+    return small_batches(both).mapInArrow(run, schema)
 
 
 class LineIndex:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._spark import cut, has_rows, slices, text_column
+from ._spark import cut, has_rows, slices, small_batches, text_column
 from ._text import Words, mix, words
 
 WORDS, SIMILARITY = 5, 0.8
@@ -127,7 +127,7 @@ def sketch(docs: DataFrame, n: int = WORDS, bands: int = BANDS, rows: int = ROWS
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[some].ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), lists], names=["doc_id", "digest", "bands"])
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return small_batches(docs).filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
@@ -142,7 +142,7 @@ def shingle_sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
                 weights = [b"" if (weight[a:b] == 1).all() else weight[a:b].astype(np.uint32).tobytes() for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(weights, pa.binary())], names=["id", "keys", "weights"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, keys binary, weights binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, keys binary, weights binary")
 
 
 def _unpack(k: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +165,7 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Data
                 keep.append(similarity(*a, *b) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return full.mapInArrow(run, "a long, b long")
+    return small_batches(full).mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

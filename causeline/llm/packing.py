@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, slices, text_column
+from ._spark import cut, slices, small_batches, text_column
 
 SIZE, END_ID = 4096, 1
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 _PLAIN = re.compile(r"[!-~\u00a1-\u00ff]+").fullmatch
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, size: int = SIZE, end_id: int =
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:

@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import slices, text_column
+from ._spark import slices, small_batches, text_column
 
 LIMIT = 512
-CACHE = 800_000
+CACHE = 400_000
 #: Symbols merged in one go.
 BATCH_SYMBOLS = 1 << 20
 #: The byte-level pattern of the published vocabulary.
@@ -165,4 +165,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
                 sizes = np.diff(np.frombuffer(n_bytes.buffers()[1], np.int32)[n_bytes.offset : n_bytes.offset + len(n_bytes) + 1]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

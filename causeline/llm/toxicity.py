@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, slices, text_column
+from ._spark import cut, slices, small_batches, text_column
 from ._text import mix, words
 from .near_dup import shingles
 
@@ -291,7 +291,7 @@ def train_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     n = own.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     chosen = own.filter(draw < (sample / n if n > sample else 1.0)).withColumnRenamed("doc_id", "label_id")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    return small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
 
 def unlike(rows: DataFrame, keys: int = 4) -> DataFrame:
@@ -423,7 +423,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = shared.value.scores(text_column(part).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
