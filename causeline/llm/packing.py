@@ -26,8 +26,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._spark import cut, slices, small_batches, text_column
 
@@ -222,47 +223,51 @@ def place(plan_: list[tuple[int, tuple[int, ...]]]) -> pd.DataFrame:
 
 
 def pack(cut_pieces: DataFrame, size: int = SIZE) -> DataFrame:
-    """Adds sequence_id and offset to a table of pieces (with column length)."""
+    """Adds sequence_id and offset to a table of pieces (with column length).
+
+    A piece's rank among its length is its place in its partition plus the pieces of that length in the partitions before.
+    Only the histogram of lengths, at most ``size`` numbers, comes to the driver.
+    """
     spark = cut_pieces.sparkSession
     held = cut(cut_pieces.withColumn("__part", F.spark_partition_id()))
-    per_part = held.groupBy("__part", "length").count().collect()  # at most partitions x size numbers
-    hist: dict[int, int] = {}
-    base: dict[tuple[int, int], int] = {}
-    for r in sorted(per_part, key=lambda r: r["__part"]):
-        base[r["__part"], r["length"]] = hist.get(r["length"], 0)
-        hist[r["length"]] = hist.get(r["length"], 0) + r["count"]
-    runs = place(plan(hist, size)).sort_values(["length", "from"]) if hist else place([])
-    by_length = {int(k): g[["from", "first", "offset"]].to_numpy(np.int64) for k, g in runs.groupby("length")}
-    starts: dict[int, dict[int, int]] = {}
-    for (part, length), n in base.items():
-        starts.setdefault(part, {})[length] = n
-    shared = spark.sparkContext.broadcast((by_length, starts))
-    names = [c for c in held.columns]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, begin = shared.value
-        seen: dict[tuple[int, int], int] = {}
+    per_part = held.groupBy("__part", "length").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("length").orderBy("__part")
+    base = per_part.select("__part", "length", (F.sum("__n").over(before) - F.col("__n")).alias("__base"))
+    hist = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    runs = place(plan(hist, size)).sort_values(["length", "from"])
+    shared = spark.sparkContext.broadcast({int(k): g[["from", "first", "offset"]].to_numpy(np.int64) for k, g in runs.groupby("length")})
+    names = [c for c in cut_pieces.columns]
+    at_length = names.index("length")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            length = batch.column(at_length).to_numpy(zero_copy_only=False)
+            order = np.argsort(length, kind="stable")
+            own = length[order]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[first, len(own)])
+            place_ = np.empty(len(own), np.int64)
+            place_[order] = np.arange(len(own)) - np.repeat(first, n) + seen[own]
+            seen[own[first]] += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place_)], names=[*names, "__part", "__place"])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.column(names.index("__part")).to_numpy(zero_copy_only=False)
-            length = batch.column(names.index("length")).to_numpy(zero_copy_only=False)
+            length, order = (batch.column(k).to_numpy(zero_copy_only=False) for k in (at_length, len(names)))
             seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            order = np.lexsort((length, part))
-            pairs = np.stack([part[order], length[order]], 1) if len(order) else np.zeros((0, 2), np.int64)
-            edges = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(1), True]) if len(order) else []
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                p, n = int(pairs[lo, 0]), int(pairs[lo, 1])
-                r0 = begin[p][n] + seen.get((p, n), 0)
-                seen[p, n] = seen.get((p, n), 0) + int(hi - lo)
-                rank = np.arange(r0, r0 + hi - lo)
-                table = where[n]
-                at = np.searchsorted(table[:, 0], rank, side="right") - 1
-                seq[order[lo:hi]] = table[at, 1] + rank - table[at, 0]
-                off[order[lo:hi]] = table[at, 2]
-            keep = [k for k, c in enumerate(names) if c != "__part"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(seq), pa.array(off)], names=[*(names[k] for k in keep), "sequence_id", "offset"])
-
-    schema = held.drop("__part").schema.add("sequence_id", "long").add("offset", "long")
-    return held.mapInArrow(run, schema)
+            for n in np.unique(length):
+                own = np.flatnonzero(length == n)
+                table = shared.value[int(n)]
+                at = np.searchsorted(table[:, 0], order[own], side="right") - 1
+                seq[own] = table[at, 1] + order[own] - table[at, 0]
+                off[own] = table[at, 2]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
+
+    more = [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")]
+    ranked = held.mapInArrow(rank, T.StructType([*held.schema.fields, T.StructField("__place", T.LongType())]))
+    ranked = ranked.join(base, ["__part", "length"]).select(*names, (F.col("__base") + F.col("__place")).alias("__rank"))
+    return ranked.mapInArrow(put, T.StructType([*cut_pieces.schema.fields, *more]))
 
 
 def read_tokenizer(path: str) -> str:
