@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 #: Rows in an Arrow batch at most: whole texts are in it, on both sides of the pipe.
@@ -39,6 +40,12 @@ def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
 
 
+def ids_repeat(df: DataFrame, column: str = "doc_id") -> bool:
+    """Whether any id stands on several rows: reads that column alone."""
+    ids = df.select(column).filter(F.col(column).isNotNull())
+    return has_rows(ids.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The text column as a plain string array, nulls as empty texts."""
     col = batch.column(batch.schema.get_field_index(name))

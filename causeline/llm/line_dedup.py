@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import cut, small_batches
+from ._spark import cut, ids_repeat, small_batches
 
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -193,11 +193,11 @@ def _one_row_each(docs: DataFrame) -> DataFrame:
     return docs.groupBy("key", "doc_id").agg(F.lit(1).alias("x")).drop("x")
 
 
-def find_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, unique_ids: bool = True) -> DataFrame:
+def find_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, keys): the line keys that each document loses."""
     spark = docs.sparkSession
     posted = postings(docs, min_chars)
-    if not unique_ids:
+    if ids_repeat(docs):
         posted = _one_row_each(posted)
     common = cut(reference_counts(posted).filter(F.col("refs") >= min_docs))
     n = common.count()
@@ -210,9 +210,9 @@ def find_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("__drop_keys"))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, unique_ids: bool = True, counts: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
     """All columns of ``docs`` with ``text`` rewritten; with ``counts`` also ``n_lines`` and ``n_dropped`` (long), in place of columns so named."""
-    lost = find_drops(docs, min_chars, min_docs, unique_ids).withColumnRenamed("doc_id", "__lost_id")
+    lost = find_drops(docs, min_chars, min_docs).withColumnRenamed("doc_id", "__lost_id")
     both = docs.join(lost.hint("shuffle_hash"), F.col("doc_id") == F.col("__lost_id"), "left").drop("__lost_id")
     return rewrite(both, min_chars, counts)
 

@@ -13,7 +13,7 @@ members of each against the others': small ones by pairs, large ones in pairs of
 link is verified exactly.
 
 Defined results: a null or empty text is in a class of its own; texts without words are in one class if equal;
-repeated rows of a doc_id are one document each, with equal classes; ties go to the smallest doc_id; an empty
+repeated rows of a doc_id have equal classes, and where their texts differ one of these, always the same, is compared; ties go to the smallest doc_id; an empty
 table gives no rows. A null doc_id is dropped by ``classes`` and kept by ``keep_first``.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._spark import cut, has_rows, slices, small_batches, text_column
+from ._spark import cut, has_rows, ids_repeat, slices, small_batches, text_column
 from ._text import Words, mix, words
 
 WORDS, SIMILARITY = 5, 0.8
@@ -36,6 +36,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Buckets up to this size may pair their members; larger ones are compared in blocks of so many rows or bytes of shingles at most.
 SMALL_BUCKET, BLOCK_ROWS, BLOCK_BYTES = 48, 256, 8 << 20
+SALTS = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MULT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -178,7 +179,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY, n: int = WORDS, bands: i
     members = cut(banded.join(buckets, "band").select("band", "rep", "pivot"))
     wanted = members.select(F.col("rep").alias("id")).distinct()
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = cut(shingle_sets(texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi"), n).dropDuplicates(["id"]))
+    sets = shingle_sets(texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi"), n)
+    if ids_repeat(docs):
+        sets = sets.groupBy("id").agg(F.max(F.struct("keys", "weights")).alias("s")).select("id", "s.*")
+    sets = cut(sets)
 
     star = members.filter("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("shared"))
     best = star.groupBy("rep").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
@@ -243,7 +247,8 @@ def _in_blocks(large: DataFrame, comp: DataFrame | None, sets: DataFrame, least:
     groups = components(large.filter("rep <> pivot"), "rep", "pivot").withColumnRenamed("component", "grp")
     full = _with_component(groups.withColumnRenamed("id", "rep"), comp, "rep").join(sets, F.col("rep") == F.col("id")).drop("id")
     sizes = full.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("keys")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = full.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a group's members are in one task nowhere
+    dealt = full.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["grp", "salt"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "rep_comp", "keys", "weights")
 
