@@ -117,12 +117,11 @@ def common_words(counts: DataFrame, most: int = TABLE) -> Table:
         if total + n > most:
             break
         least, total = c, total + n
-    rows = counts.filter(F.col("c") >= least).collect() if least is not None else []
-    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    rows = counts.filter(F.col("c") >= (least if least is not None else 2**62)).toArrow()
+    h, c, unit = (rows.column(k).to_numpy().astype(np.int64) for k in ("h", "c", "unit"))
+    h = h.view(np.uint64)
     order = np.argsort(h)
-    c = np.array([r["c"] for r in rows], np.int64)[order]
-    unit = np.array([r["unit"] for r in rows], np.int64)[order]
-    h = h[order]
+    h, c, unit = h[order], c[order], unit[order]
     inner = np.flatnonzero(unit != END_UNIT)
     top = inner[np.lexsort((h[inner], -c[inner]))][:CORE]
     unit[top] = np.arange(len(top))

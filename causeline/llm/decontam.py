@@ -28,8 +28,8 @@ from ._spark import slices, small_batches, text_column
 from ._text import words
 
 WINDOW = 13
-#: Words of the items in one automaton: at about 13 nodes of 40 bytes a word, 300 MB at most.
-BLOCK_WORDS = 500_000
+#: Words of the items in one automaton: at about 13 nodes of 50 bytes a word, 130 MB at most.
+BLOCK_WORDS = 200_000
 SCHEMA = "doc_id long, n_words long, spans array<struct<first:long,last:long,from_byte:long,to_byte:long>>, items array<string>"
 
 

@@ -202,8 +202,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Models:
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(feature, pa.int32()), pa.array(total[lang, feature])], names=["lang", "feature", "n"])
 
     counts = np.zeros((FEATURES, len(langs)))
-    for r in chosen.mapInArrow(run, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect():
-        counts[r["feature"], r["lang"]] = r["n"]  # at most FEATURES x languages numbers
+    rows = chosen.mapInArrow(run, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
+    counts[rows.column("feature").to_numpy(), rows.column("lang").to_numpy()] = rows.column("n").to_numpy()  # at most FEATURES x languages
     return Models(langs, counts)
 
 
