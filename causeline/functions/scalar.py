@@ -190,3 +190,17 @@ def event_name(gid: Column, host: Column, kind: Column, note: Column) -> Column:
 def power2ceil(n: Column) -> Column:
     """Smallest power of two at or above n."""
     return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(1))))).cast("long")
+
+
+_H = 3600
+#: Fixed values: (whole range at most, step) of an axis in seconds, and the step beyond.
+TICKS = ((180, 10), (600, 60), (1800, 180), (_H, 300), (6 * _H, 600), (DAY, 6 * _H), (7 * DAY, DAY), (14 * DAY, 2 * DAY), (60 * DAY, 7 * DAY), (300 * DAY, 20 * DAY))
+LAST_TICK = 50 * DAY
+
+
+def tick_step(span: Column) -> Column:
+    """Seconds between the ticks of a time axis over ``span`` seconds."""
+    out = F.lit(LAST_TICK)
+    for most, step in reversed(TICKS):
+        out = F.when(span <= most, step).otherwise(out)
+    return out

@@ -145,3 +145,15 @@ def long_enough_times(log: DataFrame, least: int, term: int) -> DataFrame:
 def full_events(parts: DataFrame) -> DataFrame:
     """Times of each event over all terms; terms that overlap bring a line more than once."""
     return parts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dt").alias("n_times"))
+
+
+def auto_binned(log: DataFrame, size: int, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Bins from the floor of the log's first time to the ceiling of its last, as sizes since midnight.
+
+    The range is one row that the plan joins, so nothing is fetched first. Any size is a plain bin, one second too.
+    """
+    from ..functions.scalar import floor_time
+
+    top = log.agg(epoch(floor_time(F.min("dt"), size)).alias("__top"))
+    rows = log.join(F.broadcast(top)).withColumn("bin", F.floor((epoch(F.col("dt")) - F.col("__top")) / size).cast("long"))
+    return rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("cnt"))

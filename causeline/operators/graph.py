@@ -288,3 +288,41 @@ def listing(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         x, y = F.concat(x, F.lit(" ("), "a_label", F.lit(")")), F.concat(y, F.lit(" ("), "b_label", F.lit(")"))
     line = F.when(~F.col("directed"), F.concat(x, F.lit(" <-> "), y)).when(F.col("forward"), F.concat(x, F.lit(" -> "), y)).otherwise(F.concat(y, F.lit(" -> "), x))
     return adj.select("term", line.alias("line"))
+
+
+def run_lengths(edges: DataFrame, *by: str, ignore_host: bool = False) -> DataFrame:
+    """(by, term, a, b, run): for how many graphs in a row, up to this one, a pair occurs.
+
+    ``ignore_host``: a and b are groups, and a pair of groups goes on while any of its pairs of events occurs.
+    """
+    adj = adjacency(edges, *by, "term").select(*by, "term", "a", "b")
+    if ignore_host:
+        adj = adj.select(*by, "term", F.least("a.gid", "b.gid").alias("a"), F.greatest("a.gid", "b.gid").alias("b")).distinct()
+    pair = Window.partitionBy(*by, "a", "b").orderBy("term")
+    runs = adj.withColumn("__g", F.col("term") - F.row_number().over(pair))
+    return runs.withColumn("run", F.row_number().over(Window.partitionBy(*by, "a", "b", "__g").orderBy("term"))).drop("__g")
+
+
+def run_filter(edges: DataFrame, threshold: int, *by: str, ignore_host: bool = False) -> DataFrame:
+    """Run lengths with ``filtered``: at least so many graphs in a row."""
+    return run_lengths(edges, *by, ignore_host=ignore_host).withColumn("filtered", F.col("run") >= threshold)
+
+
+#: Methods by name (C26): (edges, threshold) -> counts or runs with ``filtered``.
+EDGE_FILTERS = {
+    "count": lambda e, th: common_filter(edge_counts(e), th),
+    "count_ighost": lambda e, th: common_filter(edge_counts(e, ignore_host=True), th),
+    "cont": lambda e, th: run_filter(e, int(th)),
+    "cont_ighost": lambda e, th: run_filter(e, int(th), ignore_host=True),
+}
+
+
+def whole_component_sizes(edges: DataFrame) -> DataFrame:
+    """(size, n) over all graphs."""
+    return component_sizes(edges).groupBy("size").agg(F.sum("n").alias("n"))
+
+
+def distance_matrix(distances: DataFrame, by: str = "ged") -> DataFrame:
+    """(t1, t2, value) with the largest value where there is none: what a heat map shows."""
+    most = distances.agg(F.max(by).alias("__most"))
+    return distances.join(F.broadcast(most)).select("t1", "t2", F.coalesce(by, "__most").alias("value"))

@@ -73,3 +73,26 @@ def nulls_last(df: DataFrame, column: str, descending: bool = False, none_last:
     c = F.col(column)
     order = (c.desc_nulls_last() if none_last else c.desc_nulls_first()) if descending else (c.asc_nulls_last() if none_last else c.asc_nulls_first())
     return df.orderBy(order)
+
+
+def replaced_events(events: DataFrame) -> DataFrame:
+    """Events that stand for the remainder of a periodic one."""
+    return events.filter(F.col("type") == 3)
+
+
+def search_event(events: DataFrame, gid: int, host: str) -> DataFrame:
+    """Definitions of one event."""
+    return events.filter((F.col("gid") == gid) & (F.col("host") == host))
+
+
+def aligned(one: DataFrame, two: DataFrame, *by: str) -> DataFrame:
+    """(by, state): whether a result is in both sets, or only in the first or second."""
+    a, b = one.select(*by).distinct().withColumn("__a", F.lit(1)), two.select(*by).distinct().withColumn("__b", F.lit(1))
+    state = F.when(F.col("__b").isNull(), "first").when(F.col("__a").isNull(), "second").otherwise("both")
+    return a.join(b, list(by), "full").withColumn("state", state).drop("__a", "__b")
+
+
+def labelled_difference(one: DataFrame, two: DataFrame, labels: DataFrame, *by: str) -> DataFrame:
+    """(label, n_events, n): events of the first set only, by label."""
+    own = labels.select(F.col("ltgid").alias("gid"), "label")
+    return only_in_first(one, two, *by).join(own, "gid", "left").groupBy("label").agg(F.count(F.lit(1)).alias("n_events"), F.sum("n").alias("n"))

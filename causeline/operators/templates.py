@@ -316,3 +316,11 @@ def training_lines(log: DataFrame, lt: DataFrame) -> DataFrame:
     each = first.join(lt.select("ltid", "ltw"), "ltid").select("ltid", F.posexplode(F.arrays_zip("words", "ltw")).alias("pos", "x"))
     label = F.when(F.col("x.ltw") == WILDCARD, "V").otherwise("D")
     return each.select("ltid", "pos", F.concat_ws(" ", "x.words", label, label).alias("line"))
+
+
+def distinct_templates(*parts: DataFrame) -> DataFrame:
+    """(tpl, cnt): templates of several sources as one set."""
+    whole = parts[0].select("tpl", "cnt")
+    for p in parts[1:]:
+        whole = whole.unionByName(p.select("tpl", "cnt"))
+    return whole.groupBy("tpl").agg(F.sum("cnt").alias("cnt"))

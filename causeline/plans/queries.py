@@ -333,6 +333,40 @@ def event_tfidf_cosine(spark, d):
     return search.cosine(search.tfidf(_blocks(spark, d), "term"), "term").withColumn("cosine", F.round("cosine", 6))
 
 
+@query(f"WITH b AS ({_BLOCKS}) SELECT label, count(*) AS n_events, CAST(sum(n) AS BIGINT) AS n FROM (SELECT gid, host, count(*) AS n FROM (SELECT DISTINCT term, gid, host FROM (SELECT *, (CAST(epoch(dt) AS BIGINT) - 1704067200) // 518400 AS term FROM log WHERE dt >= TIMESTAMP '2024-01-01' AND dt < TIMESTAMP '2024-01-31') EXCEPT SELECT term, gid, host FROM b) GROUP BY gid, host) x LEFT JOIN labels l ON l.ltgid = x.gid GROUP BY label", "log", "labels")
+def event_diff_labels(spark, d):
+    return search.labelled_difference(v.term_of(_log(spark, d)), _blocks(spark, d), v.labels(spark), "term")
+
+
+@query(f"SELECT coalesce(a.term, b.term) AS term, CASE WHEN b.term IS NULL THEN 'first' WHEN a.term IS NULL THEN 'second' ELSE 'both' END AS state FROM (SELECT DISTINCT term FROM ({_BLOCKS}) WHERE term < 4) a FULL JOIN (SELECT DISTINCT term FROM ({_BLOCKS}) WHERE term > 1) b ON a.term = b.term", "log")
+def aligned_results(spark, d):
+    b = _blocks(spark, d)
+    return search.aligned(b.filter("term < 4"), b.filter("term > 1"), "term")
+
+
+@query("SELECT gid, host, n FROM (SELECT gid, host, count(*) AS n FROM log GROUP BY gid, host) WHERE gid = 1 AND host = 'host4'", "log")
+def search_event(spark, d):
+    return search.search_event(ev.event_groups(v.log(spark, d)), 1, "host4").select("gid", "host", "n")
+
+
+@query("WITH t AS (SELECT min(CAST(epoch(dt) AS BIGINT)) // 7200 * 7200 AS top FROM log) SELECT gid, host, (CAST(epoch(dt) AS BIGINT) - top) // 7200 AS bin, count(*) AS cnt FROM log, t GROUP BY ALL", "log")
+def bin_auto_range(spark, d):
+    """Bins over the log's own range."""
+    return ev.auto_binned(v.log(spark, d), 7200)
+
+
+@query("SELECT gid, span, CASE WHEN span <= 86400 THEN 21600 WHEN span <= 604800 THEN 86400 WHEN span <= 1209600 THEN 172800 WHEN span <= 5184000 THEN 604800 ELSE 1728000 END AS step FROM (SELECT gid, CAST(epoch(max(dt)) - epoch(min(dt)) AS BIGINT) AS span FROM log GROUP BY gid)", "log")
+def axis_steps(spark, d):
+    g = v.log(spark, d).groupBy("gid").agg((F.max(fn.epoch(F.col("dt"))) - F.min(fn.epoch(F.col("dt")))).alias("span"))
+    return g.withColumn("step", fn.tick_step(F.col("span")))
+
+
+@query("SELECT tpl, cnt FROM (SELECT array_to_string(ltw, ' ') AS tpl, CAST(2 * count(*) AS BIGINT) AS cnt FROM log JOIN lt ON log.ltid = lt.ltid GROUP BY tpl)", "log", "lt")
+def distinct_templates(spark, d):
+    n = v.log(spark, d).groupBy("ltid").agg(F.count(F.lit(1)).alias("cnt")).join(v.lt(spark), "ltid").select(F.col("ltw").alias("tpl"), "cnt")
+    return tp.distinct_templates(n, n).withColumn("tpl", F.array_join("tpl", " "))
+
+
 # --- graphs ---
 
 
@@ -500,6 +534,29 @@ def edge_listing(spark, d):
     return graph.listing(v.edges(spark, d))
 
 
+@query("SELECT term, a, b, run, run >= 2 AS filtered FROM (SELECT *, row_number() OVER (PARTITION BY a, b, g ORDER BY term) AS run FROM (SELECT *, term - row_number() OVER (PARTITION BY a, b ORDER BY term) AS g FROM pairs))", "pairs")
+def edge_run_filter(spark, d):
+    return _names(graph.run_filter(v.edges(spark, d), 2), "a", "b").withColumn("run", F.col("run").cast("long"))
+
+
+@query("SELECT term, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, run, run >= 2 AS filtered FROM (SELECT *, row_number() OVER (PARTITION BY a, b, g ORDER BY term) AS run FROM (SELECT *, term - row_number() OVER (PARTITION BY a, b ORDER BY term) AS g FROM (SELECT DISTINCT term, least(a[1], b[1]) AS a, greatest(a[1], b[1]) AS b FROM pairs)))", "pairs")
+def edge_run_filter_ighost(spark, d):
+    return graph.EDGE_FILTERS["cont_ighost"](v.edges(spark, d), 2).withColumn("run", F.col("run").cast("long"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT term, node, node AS root FROM nodes UNION SELECT r.term, CASE WHEN p.a = r.node THEN p.b ELSE p.a END, r.root FROM r JOIN pairs p ON p.term = r.term AND (p.a = r.node OR p.b = r.node)),
+  c AS (SELECT term, node, min(root) AS component FROM r GROUP BY term, node)
+  SELECT size, count(*) AS n FROM (SELECT term, component, count(*) AS size FROM c GROUP BY ALL) GROUP BY size""", "pairs", "nodes")
+def whole_netsize(spark, d):
+    return graph.whole_component_sizes(v.edges(spark, d))
+
+
+@query(f"WITH g AS ({_GED}) SELECT t1, t2, coalesce(mcs_ratio, (SELECT max(mcs_ratio) FROM g)) AS value FROM g", "edges")
+def heatmap(spark, d):
+    out = graph.similar_graphs(v.edges(spark, d)).withColumn("mcs_ratio", F.round("mcs_ratio", 6))
+    return graph.distance_matrix(out, "mcs_ratio")
+
+
 # --- labels ---
 
 
