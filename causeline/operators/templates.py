@@ -103,20 +103,42 @@ class Shiso:
             node = node.children[int(np.argmax(far) if self.compat else np.argmin(far))]
 
 
-def shiso(log: DataFrame, threshold: float = 0.9, max_child: int = 4, mode: str = "by_length", compat: bool = False) -> DataFrame:
-    """(lid, n, local, tpl): each line's template, numbered within its length. ``exact`` keeps one tree for all lengths."""
-    if mode not in ("by_length", "exact"):
+def shiso(log: DataFrame, threshold: float = 0.9, max_child: int = 4, mode: str = "by_length", compat: bool = False, shards: int = 64) -> DataFrame:
+    """(lid, n, local, tpl): each line's template, numbered within its length.
+
+    ``exact`` keeps one tree for all lengths in one ordered task, ``by_length`` one for each length. ``sharded`` mines ``shards`` parts of each
+    length side by side and then mines the parts' templates, so that no task holds a length's lines; trees see lines in another order there.
+    """
+    if mode not in ("by_length", "exact", "sharded"):
         raise ValueError(f"unknown mode {mode!r}")
 
-    def mine(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("lid")
+    def grow(group: pd.DataFrame, words: str, order: list[str]) -> tuple[pd.DataFrame, list[int], list[list[str]]]:
+        group = group.sort_values(order)
         tree = Shiso(threshold, max_child, compat=compat)
-        tids = [tree.add(list(w)) for w in group["words"]]
-        return pd.DataFrame({"lid": group["lid"], "n": group["n"], "local": tids, "tpl": [tree.templates[t] for t in tids]})
+        tids = [tree.add(list(w)) for w in group[words]]
+        return group, tids, tree.templates
+
+    def lines(group: pd.DataFrame) -> pd.DataFrame:
+        group, tids, tpl = grow(group, "words", ["lid"])
+        return pd.DataFrame({"lid": group["lid"], "n": group["n"], "k": group["k"], "local": tids, "tpl": [tpl[t] for t in tids]})
 
     rows = log.select("lid", "words", F.size("words").alias("n"))
-    key = F.lit(0) if mode == "exact" else F.col("n")
-    return rows.withColumn("k", key).groupBy("k").applyInPandas(lambda g: mine(g.drop(columns="k")), "lid long, n int, local int, tpl array<string>")
+    key = {"exact": F.lit(0), "by_length": F.lit(0), "sharded": F.pmod(F.xxhash64("lid"), F.lit(shards)).cast("int")}[mode]
+    by = ["k"] if mode == "exact" else ["n", "k"]
+    mined = rows.withColumn("k", key).groupBy(*by).applyInPandas(lines, "lid long, n int, k int, local int, tpl array<string>")
+    if mode != "sharded":
+        return mined.select("lid", "n", "local", "tpl")
+
+    def parts(group: pd.DataFrame) -> pd.DataFrame:
+        group, tids, tpl = grow(group, "tpl", ["k", "local"])
+        return pd.DataFrame({"n": group["n"], "k": group["k"], "local": group["local"], "whole": tids, "tpl": [tpl[t] for t in tids]})
+
+    from ..plans.checkpoint import cut
+
+    mined = cut(mined)
+    some = mined.select("n", "k", "local", "tpl").distinct()
+    whole = some.groupBy("n").applyInPandas(parts, "n int, k int, local int, whole int, tpl array<string>")
+    return mined.drop("tpl").join(whole, ["n", "k", "local"]).select("lid", "n", F.col("whole").alias("local"), "tpl")
 
 
 def numbered(mined: DataFrame) -> tuple[DataFrame, DataFrame]:

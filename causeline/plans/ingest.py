@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.scalar import header, removed
+from ..functions.scalar import epoch, header, removed
 from ..functions.tokenise import words_and_separators
 from ..operators import templates as tp
 from ..sources import hosts, store
@@ -107,13 +107,18 @@ class Ingest:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Line numbers from 0 in order of (dt, host, message): days are numbered side by side, then shifted by the days before."""
-    day = F.to_date("dt")
-    w = Window.partitionBy("__day").orderBy("dt", "host", "message")
-    own = rows.withColumn("__day", day).withColumn("__n", F.row_number().over(w) - 1)
-    sizes = rows.groupBy(day.alias("__day")).agg(F.count(F.lit(1)).alias("__size"))
-    before = sizes.withColumn("__before", F.sum("__size").over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))).select("__day", F.coalesce("__before", F.lit(0)).alias("__before"))
-    return own.join(F.broadcast(before), "__day").withColumn("lid", (F.col("__before") + F.col("__n")).cast("long")).drop("__day", "__n", "__before")
+    """Line numbers from 0 in order of (dt, host, message): minutes are numbered side by side, then shifted by the lines before them.
+
+    The shift is a running sum over hours, and over the minutes of each hour.
+    """
+    sec = epoch(F.col("dt"))
+    own = rows.withColumn("__minute", F.floor(sec / 60)).withColumn("__n", F.row_number().over(Window.partitionBy("__minute").orderBy("dt", "host", "message")) - 1)
+    sizes = rows.groupBy(F.floor(sec / 60).alias("__minute")).agg(F.count(F.lit(1)).alias("__size")).withColumn("__hour", F.floor(F.col("__minute") / 60))
+    inner = F.sum("__size").over(Window.partitionBy("__hour").orderBy("__minute")) - F.col("__size")
+    hours = sizes.groupBy("__hour").agg(F.sum("__size").alias("__all"))
+    hours = hours.select("__hour", (F.sum("__all").over(Window.orderBy("__hour")) - F.col("__all")).alias("__before"))
+    before = sizes.withColumn("__inner", inner).join(hours, "__hour").select("__minute", (F.col("__before") + F.col("__inner")).alias("__before"))
+    return own.join(before, "__minute").withColumn("lid", (F.col("__before") + F.col("__n")).cast("long")).drop("__minute", "__n", "__before")
 
 
 def regrouped(s: store.LogStore, grouper: str = "shiso") -> DataFrame:

@@ -137,7 +137,7 @@ def test_word_distances():
 def test_shiso_modes(spark):
     lines = ["interface eth0 down", "interface eth1 down", "login of bob", "login of amy from far", "interface eth2 down"]
     log = spark.createDataFrame([(k, x.split()) for k, x in enumerate(lines)], "lid long, words array<string>")
-    for mode in ("exact", "by_length"):
+    for mode in ("exact", "by_length", "sharded"):
         ids, tpl = tp.numbered(tp.shiso(log, 0.9, 4, mode))
         t = {r.tid: " ".join(r.tpl) for r in tpl.collect()}
         assert sorted(t.values()) == ["interface ** down", "login of amy from far", "login of bob"]
