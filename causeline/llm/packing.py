@@ -25,14 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import cut, slices, small_batches, text_column
+from ._spark import SLICE_BYTES, cut, slices, small_batches, text_column
 
 SIZE, END_ID = 4096, 1
+#: Words in the newer of two caches at most; as many may be in the older one.
 CACHE_WORDS = 400_000
 _PLAIN = re.compile(r"[!-~\u00a1-\u00ff]+").fullmatch
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -64,40 +66,64 @@ class WordTokenizer:
     def clear(self) -> None:
         self.words: dict[str, bytes] = {"": b""}
         self.pre: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_pre: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        """Full caches become the old ones, from which words that come again are taken back."""
+        if len(self.words) > CACHE_WORDS:
+            self.old_words, self.words = self.words, {"": b""}
+        if len(self.pre) > CACHE_WORDS:
+            self.old_pre, self.pre = self.pre, {}
 
     def pre_token(self, p: str) -> bytes:
-        own = p if p.isascii() else "".join([self.byte_char[b] for b in p.encode()])
-        self.pre[p] = ids = struct.pack(f"<{len(k := [t.id for t in self.model.tokenize(own)])}I", *k)
+        ids = self.old_pre.get(p)
+        if ids is None:
+            own = p if p.isascii() else "".join([self.byte_char[b] for b in p.encode()])
+            ids = struct.pack(f"<{len(k := [t.id for t in self.model.tokenize(own)])}I", *k)
+        self.pre[p] = ids
         return ids
 
     def learn(self, new: set[str]) -> None:
         odd = []
+        words, old = self.words, self.old_words.get
         pre, find = self.pre, self.pattern and self.pattern.findall
         for w in new:
-            if find and _PLAIN(w):
-                self.words[w] = b"".join([pre.get(p) or self.pre_token(p) for p in find(w.lower())])
+            if (ids := old(w)) is not None:
+                words[w] = ids
+            elif find and _PLAIN(w):
+                words[w] = b"".join([pre.get(p) or self.pre_token(p) for p in find(w.lower())])
             else:
                 odd.append(w)
         for k in range(0, len(odd), 20_000):
             part = odd[k : k + 20_000]
             for w, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False)):
-                self.words[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > CACHE_WORDS or len(self.pre) > CACHE_WORDS:
-            self.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known, new = self.words, set()
-        for own in split:
-            new.update(own)
-        self.learn({w for w in new if w not in known})
-        out = []
-        for text, own in zip(texts, split):
-            if any(s in text for s in self.special):
-                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes())
-            else:
-                out.append(b"".join([known[w] for w in own]))
+                words[w] = np.array(e.ids, np.uint32).tobytes()
+
+    def encode(self, col: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. Words are told apart by Arrow, so that Python meets each once, and ids are gathered as arrays."""
+        self.turn()
+        lists = pc.split_pattern(pc.replace_substring(col, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        found = list(map(self.words.get, own))
+        new = {w for w, ids in zip(own, found) if ids is None}
+        if new:
+            self.learn(new)
+            found = list(map(self.words.get, own))
+        pool = np.frombuffer(b"".join(found), np.uint32)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        codes = coded.indices.to_numpy()
+        n = size[codes]
+        upto = np.r_[0, np.cumsum(n)]
+        ids = pool[np.repeat(start[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        edge = lists.offsets.to_numpy()
+        edge = upto[edge - edge[0]]
+        out = [ids[i:j] for i, j in zip(edge[:-1], edge[1:])]
+        for special in self.special:
+            for k in np.flatnonzero(pc.match_substring(col, special).to_numpy(zero_copy_only=False)):
+                out[k] = np.array(self.whole.encode(col[int(k)].as_py(), add_special_tokens=False).ids, np.uint32)
         return out
 
 
@@ -128,10 +154,10 @@ def pieces(docs: DataFrame, tokenizer_json: str, size: int = SIZE, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_for(spec.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=4 * SLICE_BYTES):
                 rows: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), tokenizer.encode(text_column(part).to_pylist())):
-                    ids += end
+                for doc, ids in zip(part.column(0).to_pylist(), tokenizer.encode(text_column(part))):
+                    ids = ids.tobytes() + end
                     for k, at in enumerate(range(0, len(ids), 4 * size)):
                         own = ids[at : at + 4 * size]
                         rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
