@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import epoch, from_epoch
+from .ids import dense_ids
 
 ORIGIN = dt.datetime(1970, 1, 1)
 KEY = ("gid", "host")
@@ -62,15 +63,18 @@ def event_groups(log: DataFrame, *by: str) -> DataFrame:
 
 
 def event_map(log: DataFrame, *by: str) -> DataFrame:
-    """Dense event numbers from 0 by (gid, host) within ``by`` (A9). Numbers go to distinct events only, a small table."""
-    w = Window.partitionBy(*by).orderBy(*KEY) if by else Window.partitionBy(F.lit(0)).orderBy(*KEY)
-    return log.select(*by, *KEY).distinct().withColumn("eid", (F.row_number().over(w) - 1).cast("int"))
+    """Dense event numbers from 0 by (gid, host) within ``by``."""
+    events = log.select(*by, *KEY).distinct()
+    if not by:
+        return dense_ids(events, list(KEY), "eid")
+    return events.withColumn("eid", (F.row_number().over(Window.partitionBy(*by).orderBy(*KEY)) - 1).cast("int"))
 
 
 def remap(events: DataFrame, *by: str) -> DataFrame:
     """Surviving events numbered anew in their old order."""
-    w = Window.partitionBy(*by).orderBy("eid") if by else Window.partitionBy(F.lit(0)).orderBy("eid")
-    return events.withColumn("new_eid", (F.row_number().over(w) - 1).cast("int"))
+    if not by:
+        return dense_ids(events, ["eid"], "new_eid")
+    return events.withColumn("new_eid", (F.row_number().over(Window.partitionBy(*by).orderBy("eid")) - 1).cast("int"))
 
 
 def known_events(log: DataFrame, events: DataFrame) -> DataFrame:

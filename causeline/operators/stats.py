@@ -16,13 +16,25 @@ def intervals(log: DataFrame, threshold: float) -> DataFrame:
 
     Only events with more than two lines are tested; mean 0 is not regular.
     """
-    w = Window.partitionBy(*KEY).orderBy("dt", "lid")
-    gaps = log.withColumn("gap", epoch(F.col("dt")) - epoch(F.lag("dt").over(w)))
-    out = gaps.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_gap"), F.stddev_pop("gap").alias("std_gap"), F.percentile("gap", F.lit(0.5)).alias("median_gap"))
+    out = gaps(log).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_gap"), F.stddev_pop("gap").alias("std_gap"), F.percentile("gap", F.lit(0.5)).alias("median_gap"))
     regular = (F.col("mean_gap") != 0) & (F.col("std_gap") / F.col("mean_gap") < threshold)
     return out.filter("n > 2").withColumn("interval_s", F.when(regular, F.col("median_gap").cast("long")))
 
 
+def gaps(log: DataFrame, chunk: int = 3600) -> DataFrame:
+    """(gid, host, gap): seconds since the event's line before, null for its first.
+
+    Lines are ordered within hours only; an hour's first line looks at the last time of the event's hour before, so that a very
+    frequent event is spread over tasks.
+    """
+    rows = log.select(*KEY, "lid", epoch(F.col("dt")).alias("s")).withColumn("c", F.floor(F.col("s") / chunk))
+    last = rows.groupBy(*KEY, "c").agg(F.max("s").alias("last"))
+    last = last.withColumn("prev", F.lag("last").over(Window.partitionBy(*KEY).orderBy("c"))).drop("last")
+    own = rows.withColumn("near", F.lag("s").over(Window.partitionBy(*KEY, "c").orderBy("s", "lid")))
+    first = own.filter("near is null").join(last, [*KEY, "c"]).select(*KEY, (F.col("s") - F.col("prev")).alias("gap"))
+    return own.filter("near is not null").select(*KEY, (F.col("s") - F.col("near")).alias("gap")).unionByName(first)
+
+
 def linearity(log: DataFrame, top: dt.datetime, end: dt.datetime, size: int) -> DataFrame:
     """How far the cumulative count is from a straight line: sum((C_k - (k+1) n / B)^2) / (B n).
 

@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import WILDCARD, matches_template, ngrams
+from .ids import dense_ids
 
 
 # --- word distances ---
@@ -144,7 +145,7 @@ def shiso(log: DataFrame, threshold: float = 0.9, max_child: int = 4, mode: str
 def numbered(mined: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lid, tid) and (tid, tpl, cnt); tid in order of first lines."""
     tpl = mined.groupBy("tpl").agg(F.min("lid").alias("first_lid"), F.count(F.lit(1)).alias("cnt"))
-    tpl = tpl.withColumn("tid", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first_lid")) - 1).cast("int"))
+    tpl = dense_ids(tpl, ["first_lid"], "tid")
     lines = mined.join(tpl.select("tpl", "tid"), "tpl").select("lid", "tid")
     return lines, tpl.select("tid", "tpl", "cnt")
 
@@ -298,7 +299,7 @@ def vary(lines: DataFrame, templates: DataFrame, log: DataFrame, groups: DataFra
         each = each.groupBy("lid", "tid").agg(F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))).alias("ws"))
         rows = each.select("lid", "tid", F.transform("ws", lambda x: x["w"]).alias("ltw"))
     lt = rows.groupBy("tid", "ltw").agg(F.min("lid").alias("first_lid"), F.count(F.lit(1)).alias("cnt"))
-    lt = lt.withColumn("ltid", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first_lid")) - 1).cast("int"))
+    lt = dense_ids(lt, ["first_lid"], "ltid")
     return rows.join(lt.select("tid", "ltw", "ltid"), ["tid", "ltw"]).select("lid", "ltid"), lt.select("ltid", "tid", "ltw", "cnt")
 
 
