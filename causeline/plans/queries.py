@@ -12,6 +12,7 @@ from ..functions import scalar as fn
 from ..functions.tokenise import words_and_separators
 from ..operators import causal, changepoint, edit, events as ev, graph, labels as lab, periodic, search, stats, templates as tp, variables as vr
 from ..sources import hosts, store
+from ..streaming import streams
 from . import views as v
 from .views import END, HOUR, TOP, sql
 
@@ -881,6 +882,43 @@ def change_points(spark, d):
     return changepoint.strongest(scores, 3).select("gid", "host", "bin", "value", F.round("score", 6).alias("score"))
 
 
+# --- streams: what is closed when the table has been read ---
+
+
+def _stream(spark, d):
+    return v.log_of(streams.table_stream(spark, f"{d}/events.parquet")).select("gid", "host", F.col("dt").cast("timestamp").alias("dt"))
+
+
+_WATERMARK = "(SELECT max(dt) FROM log)"
+
+
+@query(f"SELECT gid, host, bin_dt, count(*) AS cnt FROM (SELECT gid, host, time_bucket(INTERVAL 1 HOUR, dt) AS bin_dt FROM log) GROUP BY gid, host, bin_dt HAVING bin_dt + INTERVAL 1 HOUR <= {_WATERMARK}", "log")
+def stream_bins(spark, d):
+    out = streams.run_once(streams.binned(_stream(spark, d), "1 hour"))
+    return out.withColumn("bin_dt", F.col("bin_dt").cast("timestamp_ntz"))
+
+
+@query(f"SELECT gid, host, bin_dt, count(*) AS cnt FROM (SELECT gid, host, unnest([time_bucket(INTERVAL 1 HOUR, dt) - INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, dt)]) AS bin_dt FROM log) GROUP BY ALL HAVING bin_dt + INTERVAL 2 HOUR <= {_WATERMARK}", "log")
+def stream_hops(spark, d):
+    out = streams.run_once(streams.binned(_stream(spark, d), "2 hours", "1 hour"))
+    return out.withColumn("bin_dt", F.col("bin_dt").cast("timestamp_ntz"))
+
+
+@query(f"""WITH g AS (SELECT gid, host, dt, CASE WHEN dt - lag(dt) OVER (PARTITION BY gid, host ORDER BY dt, lid) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS fresh FROM log),
+  s AS (SELECT gid, host, dt, sum(fresh) OVER (PARTITION BY gid, host ORDER BY dt ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT * FROM g ORDER BY dt))
+  SELECT gid, host, min(dt) AS first_dt, max(dt) + INTERVAL 3 HOUR AS end_dt, count(*) AS cnt FROM s GROUP BY gid, host, k HAVING max(dt) + INTERVAL 3 HOUR <= {_WATERMARK}""", "log")
+def stream_sessions(spark, d):
+    out = streams.run_once(streams.sessions(_stream(spark, d), "3 hours"))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_dt", "end_dt")})
+
+
+@query()
+def stream_change_points(spark, d):
+    rows = _stream(spark, d).withColumn("bin", F.floor((F.unix_timestamp("dt") - ev.sec(TOP)) / HOUR).cast("long"))
+    out = streams.run_once(streams.change_points(rows.select("gid", "host", "bin", F.lit(1).alias("cnt")), 0.01, 1, 5))
+    return out.withColumn("score", F.round("score", 6))
+
+
 # --- one-pass queries over the large fact table ---
 
 

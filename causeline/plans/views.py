@@ -30,7 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def log(spark: SparkSession, sf_dir: str, top: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
     """(lid, ltid, gid, dt, host, words). A range is also put on the raw time, where the scan can use it."""
-    e = table(spark, sf_dir, "events")
+    return log_of(table(spark, sf_dir, "events"), top, end)
+
+
+def log_of(e: DataFrame, top: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
+    """The same of a table or stream of events."""
     stamp = lambda t: F.lit(str(t)).cast("timestamp_ntz")
     if top is not None:
         e = e.filter(F.col("ts") >= stamp(top))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,6 +44,21 @@ def append(rows: DataFrame, path: str, checkpoint: str):
     return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("day").outputMode("append")
 
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, a folder or a single file, as a stream of its files. (A stream takes a single file as a pattern only.)"""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def run_once(rows: DataFrame) -> DataFrame:
+    """All that a stream gives for what there is now, written to the shared folder and read back (append mode: closed windows only)."""
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="causeline-stream-")
+    at = f"{base}/stream-{uuid.uuid4()}"
+    q = rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/out")
+
+
 CP_STATE = "blob binary"
 CP_OUT = "gid int, host string, bin long, value double, score double"
 
