@@ -29,7 +29,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             ).alias("x")
         ).select("x.*")
         tied = tied.groupBy("hi", "lo").agg(F.max("moved").alias("moved"))
-        up = low.select(F.col("hi").alias("lo"), F.col("m").alias("next"))
+        # the key is written anew, so that both sides are dealt for this join and it may be split
+        up = low.select(F.col("hi").bitwiseXOR(F.lit(0)).alias("lo"), F.col("m").alias("next"))
         new = tied.join(up, "lo", "left").select("hi", F.coalesce("next", "lo").alias("lo"), F.when(F.col("next").isNotNull(), 1).otherwise(F.col("moved")).alias("moved"))
         # dealt anew, so that the join before may be split where many ids share a neighbour
         new = cut(new.repartition("hi").groupBy("hi", "lo").agg(F.max("moved").alias("moved")))
