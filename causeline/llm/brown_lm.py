@@ -13,7 +13,8 @@ the 1 in the last denominator is what words of that class never seen share.
 Counts of words are exact and stay distributed; words are named by 64-bit hashes. The commonest ones, at most ``TABLE`` of them, are
 sent to every task; tokens of all others find their counts by a join. Units and their bigrams have a fixed size.
 
-Defined results: a null or empty text is the end token alone; repeated rows are scored each and taught each; without
+Defined results: a null or empty text is the end token alone; repeated rows are scored each and taught each; a row without doc_id is scored but
+teaches nothing, and its held_out is null; without
 training rows counts are 0 and all probabilities uniform over what is left; other columns are ignored.
 """
 

@@ -9,7 +9,7 @@ The models are fitted on a sample of about ``sample`` labelled documents a langu
 document id; everything else reads all rows and whole texts.
 
 Defined results: a null text or one without any letter is ``und`` with score 0; equal texts have equal results; rows with
-null lang teach nothing; without any labelled row every text is ``und``; an empty table gives no rows. Ties go to
+null lang or doc_id teach nothing; without any labelled row every text is ``und``; an empty table gives no rows. Ties go to
 the language that sorts first.
 """
 

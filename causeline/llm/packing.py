@@ -11,7 +11,8 @@ offsets by arithmetic on the plan. No text and no list of documents ever comes t
 holds more than its own pieces.
 
 Defined results: a null or empty text is the end token alone; equal lengths are dealt by partition order;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; a row without doc_id is
+packed under a null one; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ Splitting before a blank that follows a non-blank never cuts a pre-token, so suc
 texts with other white space than space, tab and line ends are split by the full pattern instead. A special
 token's string is one token, as the library has it by default.
 
-Defined results: null and empty texts have 0 tokens; repeated rows are counted each; extra columns are ignored.
+Defined results: null and empty texts have 0 tokens; repeated rows and rows without doc_id are counted each; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Lexicon and weights are fitted on a sample of about ``sample`` labelled document
 all rows and whole texts.
 
 Defined results: null and empty texts get the model's score for no match; equal texts have equal scores; without
-labelled rows of both kinds every score is 0; an empty table gives no rows; other columns are ignored.
+labelled rows of both kinds every score is 0; an empty table gives no rows; rows without doc_id are scored and
+teach nothing; other columns are ignored.
 """
 
 from __future__ import annotations
