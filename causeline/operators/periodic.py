@@ -82,6 +82,27 @@ def spectrum_filter(cells: DataFrame, bins: int, size: int, mode: str = "remove"
     return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, periodic boolean, interval_s long, bin long, cnt double")
 
 
+def periodic_in_windows(log: DataFrame, end, windows: tuple[tuple[int, int], ...] = ((86400, 1), (604800, 60)), least: int = 5, term: int = 21600) -> DataFrame:
+    """(gid, host, window_s, size_s, interval_s): events that are periodic in one of the windows before ``end``.
+
+    Each window (length, bin size) is binned over its own range, and looks only at events that none before it found.
+    """
+    import datetime as dt
+
+    from .events import binned, n_bins
+
+    out = None
+    for length, size in windows:
+        top = end - dt.timedelta(seconds=length)
+        cells = binned(log, top, end, size)
+        if out is not None:
+            cells = cells.join(out.select(*KEY), list(KEY), "left_anti")
+        found = spectrum_filter(cells, n_bins(top, end, size), size, "remove", least, term).filter("periodic")
+        found = found.select(*KEY, F.lit(length).alias("window_s"), F.lit(size).alias("size_s"), "interval_s")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 #: Filter actions: the steps in turn.
 ACTIONS = {"remove": ("remove",), "replace": ("replace",), "remove-corr": ("corr",), "linear": ("linear",), "remove+linear": ("remove", "linear"), "replace+linear": ("replace", "linear"), "linear+replace": ("linear", "replace")}
 

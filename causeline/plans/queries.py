@@ -866,6 +866,12 @@ def fourier_replace(spark, d):
     return periodic.spectrum_filter(cells, 720, HOUR, "replace").groupBy("gid", "host").agg(F.max("periodic").alias("periodic"), F.round(F.sum("cnt"), 6).alias("rest"))
 
 
+@query()
+def fourier_windows(spark, d):
+    """Periodic events in the last day by minutes and in the last week by hours."""
+    return periodic.periodic_in_windows(_log(spark, d), END, ((v.DAY, 60), (7 * v.DAY, HOUR)))
+
+
 @query()
 def filter_events(spark, d):
     return periodic.filter_events(_log(spark, d), TOP, END, HOUR, "replace")

@@ -76,6 +76,15 @@ def test_spectrum(spark):
     assert kept == [(100, 1.0)]
 
 
+def test_windows_before_the_end(spark):
+    end = TOP + dt.timedelta(days=30)
+    daily = [TOP + dt.timedelta(days=k) for k in range(30)]
+    often = [end - dt.timedelta(minutes=10 * k + 5) for k in range(144)]
+    log = log_of(spark, daily, "daily").unionByName(log_of(spark, often, "often")).unionByName(log_of(spark, TIMES, "o"))
+    got = {r.host: (r.window_s, r.interval_s) for r in periodic.periodic_in_windows(log, end, ((86400, 60), (30 * 86400, 3600))).collect()}
+    assert got == {"often": (86400, 600), "daily": (30 * 86400, 86400)}
+
+
 def test_peeling():
     base = [100 * k for k in range(10)]
     found, rest = periodic.peel(base + [33, 457, 812], 100, 0.01)
