@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ._spark import cut
 
+EDGES_PER_FILE = 20_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): every id on an edge with the smallest id it can reach.
@@ -16,6 +18,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     joins are plain equi-joins that adaptive execution may split, and each round is checkpointed.
     """
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct()
+    n = edges.count()
     while True:
         low = e.groupBy("hi").agg(F.min("lo").alias("m"))
         tied = e.join(low, "hi").select(
@@ -33,8 +36,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = low.select(F.col("hi").bitwiseXOR(F.lit(0)).alias("lo"), F.col("m").alias("next"))
         new = tied.join(up, "lo", "left").select("hi", F.coalesce("next", "lo").alias("lo"), F.when(F.col("next").isNotNull(), 1).otherwise(F.col("moved")).alias("moved"))
         # dealt anew, so that the join before may be split where many ids share a neighbour
-        new = cut(new.repartition("hi").groupBy("hi", "lo").agg(F.max("moved").alias("moved")))
-        moved = new.agg(F.max("moved")).first()[0]
+        new = new.repartition("hi").groupBy("hi", "lo").agg(F.max("moved").alias("moved"))
+        # a file for so many edges, not for each partition: a round makes at most two edges of one
+        new = cut(new.coalesce(max(1, 2 * n // EDGES_PER_FILE)))
+        n, moved = new.agg(F.count(F.lit(1)), F.max("moved")).first()
         e = new.drop("moved")
         if not moved:
             roots = e.select(F.col("lo").alias("id")).distinct()

@@ -204,7 +204,7 @@ def _join_up(comp: DataFrame | None, links: DataFrame) -> DataFrame | None:
         return comp
     if comp is not None:
         links = links.unionByName(comp.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-    return cut(components(links))
+    return components(links)
 
 
 def _with_component(members: DataFrame, comp: DataFrame | None, col: str) -> DataFrame:
