@@ -36,7 +36,7 @@ from ._spark import SLICE_BYTES, cut, slices, small_batches, text_column
 
 SIZE, END_ID = 4096, 1
 #: Words in the newer of two caches at most; as many may be in the older one.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _PLAIN = re.compile(r"[!-~\u00a1-\u00ff]+").fullmatch
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
