@@ -6,7 +6,8 @@ reads sequences of word numbers, so a document is scanned once, and a match ends
 offsets in the original text are known. Stretches that hold a word of no item are skipped: no window spans them.
 
 The items are read in blocks whose automaton has a bounded number of nodes; one block is the rule, more
-blocks mean more scans, whose hits are united before anything is counted.
+blocks mean more scans, whose hits are united by row before anything is counted; rows are numbered by a
+checkpoint before the scans, so results don't depend on the number of blocks, nor on doc_ids that repeat or are null.
 
 Defined results: null and empty texts have no words, no hits and are clean; items without words are never
 found; items with equal texts are all found; equal item_ids count once. Extra columns are ignored by ``scan`` and kept by ``clean``.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import slices, small_batches, text_column
+from ._spark import cut, slices, small_batches, text_column
 from ._text import words
 
 WINDOW = 13
 #: Words of the items in one automaton: at about 13 nodes of 50 bytes a word, 130 MB at most.
 BLOCK_WORDS = 200_000
+#: Number of a row while blocks are united.
+ROW = "__row"
 SCHEMA = "doc_id long, n_words long, spans array<struct<first:long,last:long,from_byte:long,to_byte:long>>, items array<string>"
 
 
@@ -86,14 +89,26 @@ class ItemAutomaton:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: n_words, merged spans of hit words (word numbers and byte offsets), sorted item ids."""
-    parts = [_scan_block(docs, block, window) for block in _blocks(benchmark, block_words)] or [_scan_block(docs, [], window)]
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    """Per row of ``docs``: n_words, merged spans of hit words (word numbers and byte offsets), sorted item ids."""
+    blocks = _blocks(benchmark, block_words)
+    first = list(itertools.islice(blocks, 2))
+    if len(first) < 2:
+        return _scan_block(docs, first[0] if first else [], window)
+    return _scan_blocks(_numbered(docs.select("doc_id", "text")), itertools.chain(first, blocks), window).drop(ROW)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, fixed by a checkpoint."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _scan_blocks(docs: DataFrame, blocks: Iterable[list[tuple[str, str]]], window: int) -> DataFrame:
+    """The scans of all blocks over numbered rows, united by row."""
+    both = None
+    for block in blocks:
+        part = _scan_block(docs, block, window, (ROW,))
+        both = part if both is None else both.unionByName(part)
+    return both.groupBy(ROW).agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
@@ -110,7 +125,8 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
         yield block
 
 
-def _scan_block(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
+def _scan_block(docs: DataFrame, items: list[tuple[str, str]], window: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The scan of one block; ``keys`` are long columns passed on behind the others."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +143,10 @@ def _scan_block(docs: DataFrame, items: list[tuple[str, str]], window: int) -> D
                     items.append(sorted(own))
                 kind = pa.struct([(n, pa.int64()) for n in ("first", "last", "from_byte", "to_byte")])
                 cols = [part.column(0), pa.array(w.counts(), pa.int64()), pa.array(spans, pa.list_(kind)), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "spans", "items"])
+                cols += [part.column(2 + k) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "spans", "items", *keys])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keys).mapInArrow(run, ", ".join([SCHEMA, *(f"{k} long" for k in keys)]))
 
 
 _kept: dict[str, ItemAutomaton] = {}
@@ -144,8 +161,8 @@ def _automaton(items: list[tuple[str, str]], window: int) -> ItemAutomaton:
     return _kept[h]
 
 
-def verdicts(scanned: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the spans."""
+def verdicts(scanned: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the spans; behind them ``keys`` as passed on by the scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,23 +177,26 @@ def verdicts(scanned: DataFrame) -> DataFrame:
                 digest.append(hashlib.sha256(",".join(items).encode()).hexdigest())
             total = batch.column(1).to_numpy()
             bad = (np.array(hit, np.int64) > 0) & (20 * np.array(hit, np.int64) >= total)
-            cols = [batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(bad), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+            cols = [batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(bad), batch.column(2), *(batch.column(4 + k) for k in range(len(keys)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *keys])
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,last:long,from_byte:long,to_byte:long>>"
-    return scanned.mapInArrow(run, schema)
+    return scanned.mapInArrow(run, ", ".join([schema, *(f"{k} long" for k in keys)]))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the contaminated ones, all columns; rows without a doc_id are judged by their text too.
 
     With one block of items (the rule) rows are judged and passed on in the same scan; with more, the hits of all
-    blocks are united by doc_id first.
+    blocks are united by row first.
     """
-    blocks = list(itertools.islice(_blocks(benchmark, block_words), 2))
+    more = _blocks(benchmark, block_words)
+    blocks = list(itertools.islice(more, 2))
     if len(blocks) > 1:
-        bad = verdicts(scan(docs, benchmark, window, block_words)).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad.hint("shuffle_hash"), F.col("doc_id") == F.col("__bad"), "left_anti")
+        rows = _numbered(docs)
+        scanned = _scan_blocks(rows, itertools.chain(blocks, more), window)
+        bad = verdicts(scanned.select("doc_id", "n_words", "spans", "items", ROW), (ROW,)).filter("contaminated").select(F.col(ROW).alias("__bad"))
+        return rows.join(bad.hint("shuffle_hash"), F.col(ROW) == F.col("__bad"), "left_anti").drop(ROW)
     shared = docs.sparkSession.sparkContext.broadcast(blocks[0] if blocks else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,3 +71,19 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.filter("doc_id in (6, 7, 8)").count() == 0
     assert decontam.clean(no_docs, b).count() == 0 and decontam.scan(no_docs, b).count() == 0
     assert decontam.clean(odd_docs, b.limit(0)).count() == odd_docs.count()
+
+
+def test_blocks_are_united_by_row(spark, odd_docs):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    b = spark.createDataFrame([(1, passage), (2, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"), (3, "other words")], "item_id long, text string")
+    more = [(7, "clean"), (None, "clean too"), (None, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu, " + passage), (70, passage), (70, "clean")]
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    assert len(list(decontam._blocks(b, 1))) == 3
+    rows = lambda df: sorted(map(repr, df.collect()))
+    judged = lambda n: rows(decontam.verdicts(decontam.scan(docs, b, block_words=n)).drop("spans"))
+    assert judged(1) == judged(decontam.BLOCK_WORDS) and len(judged(1)) == docs.count()
+    kept = decontam.clean(docs, b, block_words=1)
+    assert kept.columns == docs.columns and rows(kept) == rows(decontam.clean(docs, b))
+    left = kept.select("doc_id", "text").collect()
+    assert {r.text for r in left if r.doc_id is None} == {None, "clean too"}
+    assert [r.text for r in left if r.doc_id in (7, 70)].count("clean") == 2
