@@ -17,6 +17,7 @@ A null doc_id is no document: its row is kept, unchanged, and counts nowhere.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,15 +48,15 @@ def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
 class CuckooFilter:
     """Buckets of four 16-bit fingerprints; a key's two buckets differ by a hash of its fingerprint."""
 
-    SLOTS = 4
+    SLOTS, LOAD = 4, 0.85
 
     def __init__(self, capacity: int, table: np.ndarray | None = None):
         n = 1
-        while n * self.SLOTS * 0.85 < max(capacity, 4):
+        while n * self.SLOTS * self.LOAD < max(capacity, 4):
             n *= 2
         self.table = np.zeros((n, self.SLOTS), np.uint16) if table is None else table
         self.mask = len(self.table) - 1
-        self.spill: set[tuple[int, int]] = set()
+        self.spill: Counter[tuple[int, int]] = Counter()  # with multiplicity, as the slots
 
     @classmethod
     def load(cls, blob: bytes) -> CuckooFilter:
@@ -63,11 +64,11 @@ class CuckooFilter:
         table = np.frombuffer(blob[16 : 16 + n * cls.SLOTS * 2], np.uint16).reshape(n, cls.SLOTS).copy()
         out = cls(0, table)
         rest = np.frombuffer(blob[16 + n * cls.SLOTS * 2 :], np.int64).reshape(extra, 2)
-        out.spill = {(int(a), int(b)) for a, b in rest}
+        out.spill = Counter((int(a), int(b)) for a, b in rest)
         return out
 
     def dump(self) -> bytes:
-        rest = np.array(sorted(self.spill), np.int64).reshape(-1, 2)
+        rest = np.array(sorted(self.spill.elements()), np.int64).reshape(-1, 2)
         return np.array([len(self.table), len(rest)], np.int64).tobytes() + self.table.tobytes() + rest.tobytes()
 
     def place(self, key: bytes) -> tuple[int, int, int]:
@@ -95,7 +96,7 @@ class CuckooFilter:
             if len(free):
                 self.table[b, free[0]] = f
                 return
-        self.spill.add((min(b, self.other(b, f)), f))
+        self.spill[min(b, self.other(b, f)), f] += 1
 
     def __contains__(self, key: bytes) -> bool:
         f, i, j = self.place(key)
@@ -110,7 +111,9 @@ class CuckooFilter:
                 self.table[b, at[0]] = 0
                 return True
         if (min(i, j), f) in self.spill:
-            self.spill.discard((min(i, j), f))
+            self.spill[min(i, j), f] -= 1
+            if not self.spill[min(i, j), f]:
+                del self.spill[min(i, j), f]
             return True
         return False
 
@@ -275,15 +278,19 @@ class LineIndex:
         if old:
             before = self.table("counts").filter(F.col("refs") >= self.min_docs).select("key")
             change = now.join(before, "key", "left_anti").withColumn("sign", F.lit(1)).unionByName(before.join(now, "key", "left_anti").withColumn("sign", F.lit(-1)))
-            filters = self._patched(self.table("filters"), change)
+            filters = self._patched(self.table("filters"), change, now)
         else:
             filters = build_filters(now, self.shards)
         filters.write.mode("overwrite").parquet(f"{self.path}/{new}/filters")
         self.generation = new
 
-    def _patched(self, filters: DataFrame, change: DataFrame) -> DataFrame:
-        """Add and delete the changed keys in each shard's filter; a filter that is full is made anew from its size on."""
+    def _patched(self, filters: DataFrame, change: DataFrame, now: DataFrame) -> DataFrame:
+        """Add and delete the changed keys in each shard's filter; a filter that would get more keys than it has room for is made anew from its keys ``now``."""
         shards = self.shards
+        change = change.withColumn("shard", _shard(shards))
+        more = change.groupBy("shard").agg(F.sum("sign").alias("more"))
+        sizes = filters.join(more, "shard", "left").select("shard", (F.col("keys") + F.coalesce("more", F.lit(0))).alias("keys"), F.substring("blob", 1, 8).alias("head")).collect()
+        full = [r["shard"] for r in sizes if r["keys"] > int.from_bytes(r["head"], "little") * CuckooFilter.SLOTS * CuckooFilter.LOAD]
 
         def one(key, held: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
             keys = int(held["keys"].iloc[0]) if len(held) else 0
@@ -293,8 +300,9 @@ class LineIndex:
                 keys += sign
             return pd.DataFrame({"shard": [key[0]], "blob": [f.dump()], "keys": [keys]})
 
-        change = change.withColumn("shard", _shard(shards))
-        return filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(one, "shard int, blob binary, keys long")
+        kept, moved = (df.filter(~F.col("shard").isin(full)) for df in (filters, change))
+        out = kept.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(one, "shard int, blob binary, keys long")
+        return out.unionByName(build_filters(now.filter(_shard(shards).isin(full)), shards)) if full else out
 
     def insert(self, docs: DataFrame) -> None:
         new = _one_row_each(postings(docs, self.min_chars))

@@ -78,3 +78,30 @@ def test_index_is_reversible(spark, tmp_path):
     index.insert(docs.filter("doc_id = 5"))
     assert index.dedup(docs.filter("doc_id <> 4")).agg(F.sum("n_dropped")).first()[0] == 4
     assert line_key(b"  " + line.encode() + b"\r") == line_key(line.upper().encode())
+
+
+def test_spilled_entries_are_counted():
+    f = CuckooFilter(4)
+    key = b"\x00" * 8 + b"\x07\x00" + b"\x00" * 6
+    for _ in range(12):  # its two buckets hold eight
+        f.add(key)
+    f = CuckooFilter.load(f.dump())
+    for _ in range(11):
+        assert f.remove(key) and key in f
+    assert f.remove(key) and key not in f and not f.remove(key)
+
+
+def test_index_grown_beyond_its_filters(spark, tmp_path):
+    line = lambda k: f"{k} is a line that is long enough to be counted as a key"
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = LineIndex(spark, str(tmp_path / "index"), shards=1)
+    index.insert(docs([(k, line("first")) for k in range(5)]))
+    grown = [(10 + k, "\n".join(map(line, range(3000)))) for k in range(5)] + [(15, "\n".join(map(line, range(1, 3000, 2))))]
+    index.insert(docs(grown))
+    index.delete(docs(grown[:1]).select("doc_id"))
+    held = CuckooFilter.load(bytes(index.table("filters").first().blob))
+    common = [bytes(r.key) for r in index.table("counts").filter("refs >= 5").collect()]
+    assert len(common) == 1501 and held.hits(common).all()
+    left = docs(grown[1:])
+    rows = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    assert rows(index.dedup(left)) == rows(dedup(left))
