@@ -5,6 +5,8 @@ Each event's series is one group; cells are sparse and made dense inside the gro
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -136,21 +138,44 @@ def peel(seconds: list[int], dur: int, err: float, least: int = 3) -> tuple[list
     A sequence goes on with the time whose gap is nearest to ``dur``, the earlier of equal ones.
     """
     slack = int(dur * err)
-    rest, found = sorted(seconds), []
-    start = 0
-    while start < len(rest):
+    s, found = sorted(seconds), []
+    n = len(s)
+    # next and last time not yet taken off, at or after and at or before each place
+    up, down = list(range(n + 1)), list(range(n + 1))
+
+    def follow(to: list[int], k: int) -> int:
+        end = k
+        while to[end] != end:
+            end = to[end]
+        while to[k] != end:
+            to[k], k = end, to[k]
+        return end
+
+    for start in range(n):
+        if up[start] != start:
+            continue
         chain, at = [start], start
         while True:
-            near = [(abs(rest[k] - rest[at] - dur), k) for k in range(at + 1, len(rest)) if abs(rest[k] - rest[at] - dur) <= slack]
-            if not near:
+            want = s[at] + dur
+            place = bisect_left(s, want, at + 1)
+            near = []
+            after = follow(up, place)
+            if after < n:
+                near.append((s[after] - want, after))
+            # places are moved by one in ``down``: 0 is before all
+            before = follow(down, place) - 1
+            if before > at:
+                before = follow(up, bisect_left(s, s[before], at + 1))
+                near.append((want - s[before], before))
+            if not near or min(near)[0] > slack:
                 break
             at = min(near)[1]
             chain.append(at)
         if len(chain) >= least:
-            found.append([rest[k] for k in chain])
-            rest = [t for k, t in enumerate(rest) if k not in set(chain)]
-        else:
-            start += 1
+            found.append([s[k] for k in chain])
+            for k in chain:
+                up[k], down[k + 1] = k + 1, k
+    rest = [s[k] for k in range(n) if up[k] == k]
     return found, rest
 
 

@@ -879,7 +879,7 @@ def filter_events(spark, d):
 
 @query()
 def separate_periodic(spark, d):
-    return periodic.separate_periodic(v.log(spark, d, TOP, A), HOUR, 0.1)
+    return periodic.separate_periodic(_log(spark, d), HOUR, 0.1)
 
 
 @query()

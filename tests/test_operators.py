@@ -91,6 +91,36 @@ def test_peeling():
     assert found == [base] and rest == [33, 457, 812]
 
 
+def test_peeling_against_all_pairs():
+    def brute(seconds, dur, err, least=3):
+        slack, rest, found, start = int(dur * err), sorted(seconds), [], 0
+        while start < len(rest):
+            chain = [start]
+            while near := [(abs(rest[k] - rest[chain[-1]] - dur), k) for k in range(chain[-1] + 1, len(rest)) if abs(rest[k] - rest[chain[-1]] - dur) <= slack]:
+                chain.append(min(near)[1])
+            if len(chain) >= least:
+                found.append([rest[k] for k in chain])
+                rest = [t for k, t in enumerate(rest) if k not in chain]
+            else:
+                start += 1
+        return found, rest
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        seconds = rng.integers(0, int(rng.integers(1, 400)), int(rng.integers(0, 60))).tolist()
+        dur, err = int(rng.integers(0, 40)), float(rng.choice([0, 0.1, 0.5, 2]))
+        assert periodic.peel(seconds, dur, err) == brute(seconds, dur, err)
+    found, rest = periodic.peel(rng.integers(0, 30 * 86400, 100_000).tolist(), 3600, 0.1)
+    assert sum(map(len, found)) + len(rest) == 100_000
+
+
+def test_separate_periodic_takes_the_whole_log(spark):
+    from causeline.plans import queries as q, views as v
+
+    d = "/root/testdata/sf0.001"
+    assert q.QUERIES["separate_periodic"](spark, d).agg(F.sum("n")).first()[0] == v.log(spark, d, v.TOP, v.END).count()
+
+
 def test_fisher_and_chi_square():
     assert math.isclose(causal.chi2_sf(causal.CRITICAL[0.01], 1), 0.01, rel_tol=1e-6)
     assert math.isclose(causal.chi2_sf(5.991464547, 2), 0.05, rel_tol=1e-6)
