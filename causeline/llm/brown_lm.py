@@ -111,14 +111,14 @@ class Table:
 
 
 def common_words(counts: DataFrame, most: int = TABLE) -> Table:
-    """All words from the smallest count on that at most ``most`` words reach."""
+    """All words from the smallest count on that at most ``most`` words reach, and the end token whatever its count."""
     sizes = sorted(((r["c"], r["count"]) for r in counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).count().collect()), reverse=True)
     least, total = None, 0
     for c, n in sizes:
         if total + n > most:
             break
         least, total = c, total + n
-    rows = counts.filter(F.col("c") >= (least if least is not None else 2**62)).toArrow()
+    rows = counts.filter((F.col("c") >= (least if least is not None else 2**62)) | (F.col("h") == int(END_HASH))).toArrow()
     h, c, unit = (rows.column(k).to_numpy().astype(np.int64) for k in ("h", "c", "unit"))
     h = h.view(np.uint64)
     order = np.argsort(h)

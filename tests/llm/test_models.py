@@ -88,6 +88,19 @@ def test_base_scores_and_known_words(spark, monkeypatch):
     assert better > 0.8 * sum(held.values())
 
 
+def test_few_long_documents(spark, monkeypatch):
+    """The end token is rarer than the words of the table, and known all the same."""
+    monkeypatch.setattr(brown_lm.common_words, "__defaults__", (20,))
+    texts = [" ".join(f"w{(k + d) % 50}" for k in range(500)) for d in range(4)]
+    out = brown_lm.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    train = [r.doc_id for r in out if not r.held_out]
+    c = Counter(w for d in train for w in texts[d].split()) + Counter({None: len(train)})
+    n, v = sum(c.values()), len(c)
+    for r in out:
+        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*texts[r.doc_id].split(), None])
+        assert r.n_known == r.n_tokens == 501 and abs(r.base_score - base) < 1e-6 * abs(base)
+
+
 def test_exchange_improves_likelihood():
     rng = np.random.default_rng(2)
     kind = rng.integers(0, 4, 60)
