@@ -20,6 +20,7 @@ training rows counts are 0 and all probabilities uniform over what is left; othe
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -170,8 +171,8 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np.ndarray:
-    """Class of each unit by exchange clustering: units by falling count, each to the class of highest likelihood.
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int | None = None) -> np.ndarray:
+    """Class of each unit by exchange clustering: units by falling count, each to the class of highest likelihood, until none moves (or for ``rounds``).
 
     The likelihood of class bigrams is, up to terms that don't change, the sum of n log n over class pairs less those
     over first and second classes.
@@ -184,7 +185,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np
     hot[np.arange(len(order)), own] = 1.0
     big = bigrams.astype(np.float64)
     n = hot.T @ big @ hot
-    for _ in range(rounds):
+    least = 1e-12 * float(_xlogx(big.sum()))  # above what sums are rounded by, so that every move is a gain and moves end
+    for _ in range(rounds) if rounds is not None else itertools.count():
         moved = 0
         for u in order:
             if not total[u]:
@@ -197,7 +199,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np
             n[a] -= right
             n[:, a] -= left
             n[a, a] -= self_
-            rows, cols = n.sum(1), n.sum(0)
+            rows, cols = n.sum(1) + left, n.sum(0) + right  # wherever u goes, the words beside it keep their counts
             # what adding u to each class changes: its row, its column, the corner
             gain = (_xlogx(n + right) - _xlogx(n)).sum(1) + (_xlogx(n + left[:, None]) - _xlogx(n)).sum(0)
             corner = np.diag(n)
@@ -205,7 +207,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np
             r, c = right.sum() + self_, left.sum() + self_
             gain -= _xlogx(rows + r) - _xlogx(rows) + _xlogx(cols + c) - _xlogx(cols)
             b = int(gain.argmax())
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             own[u] = b
             moved += b != a

@@ -126,6 +126,27 @@ def test_exchange_improves_likelihood():
             assert likelihood(other, 4) <= best + 1e-6
 
 
+def test_exchange_goes_on_until_no_move_is_better():
+    def likelihood(big, own, k):
+        hot = np.eye(k)[own]
+        n, f = hot.T @ big @ hot, brown_lm._xlogx
+        return f(n).sum() - f(n.sum(0)).sum() - f(n.sum(1)).sum()
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        big = rng.poisson(rng.gamma(0.1, 20, (24, 24)))
+        own = brown_lm.exchange(big, 4)
+        best = likelihood(big, own, 4)
+        for u in range(24):
+            for b in range(4):
+                other = own.copy()
+                other[u] = b
+                assert likelihood(big, other, 4) <= best + 1e-6
+    big = rng.poisson(rng.gamma(0.2, 5, (300, 300)))
+    assert likelihood(big, brown_lm.exchange(big, 16), 16) > likelihood(big, brown_lm.exchange(big, 16, 6), 16)
+    assert (brown_lm.exchange(np.zeros((5, 5), np.int64), 2) == np.arange(5) % 2).all()
+
+
 def test_score_is_a_distribution():
     """Emission and transition of a class sum to one over known words and one unknown share."""
     table_ = brown_lm.Table(np.array([5, 9], np.uint64), np.array([3, 2]), np.array([0, 1]))
