@@ -67,38 +67,109 @@ def test_language_odd_rows(odd_docs, no_docs):
 # --- class-based scores ---
 
 
-def test_base_scores_and_known_words(spark, monkeypatch):
-    docs = table(spark, "documents").filter("doc_id < 300")
-    rows = docs.collect()
-    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = {r.doc_id: [*re.findall(r"[^\x20\x09-\x0D]+", r.text.translate(fold)), None] for r in rows}
-    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(FOLD)), None]
+
+
+def check_base(tokens, out, held):
     c = Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
     n, v = sum(c.values()), len(c)
-    monkeypatch.setattr(brown_lm, "TABLE", 2000)
-    monkeypatch.setattr(brown_lm.common_words, "__defaults__", (2000,))  # most words go through the join
-    out = {r.doc_id: r for r in brown_lm.report(docs).collect()}
-    better = 0
     for d, ws in tokens.items():
-        r = out[d]
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(ws), sum(c[w] > 0 for w in ws), n)
-        assert abs(r.base_score - base) < 1e-6 * abs(base)
-        better += held[d] and r.score > r.base_score
-    assert better > 0.8 * sum(held.values())
+        assert (out[d].held_out, out[d].n_tokens, out[d].n_known, out[d].train_tokens) == (held[d], len(ws), sum(c[w] > 0 for w in ws), n)
+        assert abs(out[d].base_score - base) < 1e-6 * abs(base)
+    return c
 
 
-def test_few_long_documents(spark, monkeypatch):
-    """The end token is rarer than the words of the table, and known all the same."""
-    monkeypatch.setattr(brown_lm.common_words, "__defaults__", (20,))
+def test_base_scores_and_known_words(spark):
+    docs = table(spark, "documents").filter("doc_id < 300")
+    tokens = {r.doc_id: split(r.text) for r in docs.collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
+    out = {r.doc_id: r for r in brown_lm.report(docs, 2000, 100).collect()}  # most words go through the join
+    check_base(tokens, out, held)
+    assert sum(held[d] and out[d].score > out[d].base_score for d in tokens) > 0.8 * sum(held.values())
+
+
+def test_few_long_documents(spark):
+    """The end token is rarer than the words of the table, and known all the same; words of equal counts are in the table or not."""
     texts = [" ".join(f"w{(k + d) % 50}" for k in range(500)) for d in range(4)]
-    out = brown_lm.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    train = [r.doc_id for r in out if not r.held_out]
-    c = Counter(w for d in train for w in texts[d].split()) + Counter({None: len(train)})
-    n, v = sum(c.values()), len(c)
-    for r in out:
-        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*texts[r.doc_id].split(), None])
-        assert r.n_known == r.n_tokens == 501 and abs(r.base_score - base) < 1e-6 * abs(base)
+    tokens = {d: split(t) for d, t in enumerate(texts)}
+    for most in (0, 20, 1000):
+        out = {r.doc_id: r for r in brown_lm.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most, min(most, 10)).collect()}
+        c = check_base(tokens, out, {d: out[d].held_out for d in tokens})
+        assert all(out[d].n_known == 501 for d in tokens) and c[None] < min(n for w, n in c.items() if w)
+
+
+def test_commonest_is_exact(spark):
+    rnd = random.Random(4)
+    for counts in ([rnd.choice([1, 2, 3, 9, 10**12, 5 * 10**6 + rnd.randint(0, 9)]) for _ in range(300)], [7] * 300, [10**6 + k for k in range(300)]):
+        df = spark.createDataFrame([(rnd.randint(-(2**63), 2**63 - 1), c) for c in counts], "h long, c long")
+        for most in (0, 1, 37, 150, 300, 1000):
+            got = sorted((r.c for r in df.filter(brown_lm.commonest(df, most)).collect()), reverse=True)
+            assert got == sorted(counts, reverse=True)[:most]
+
+
+def test_score_against_brute_force(spark):
+    """Classes, transitions and emissions counted word by word; probabilities after any class sum to one."""
+    rnd = random.Random(9)
+    kinds = [["the", "a", "one"], [f"n{k}x" for k in range(40)], [f"v{k}ed" for k in range(40)]]
+    texts = [" ".join(rnd.choice(kinds[k % 3]) for k in range(rnd.randint(0, 40))) for _ in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (500, "the unseenx nevered"), (501, None)], "doc_id long, text string").repartition(4)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    train = {d: split(t) for d, t in rows.items() if zlib.crc32(str(d).encode()) % 7 != 2}
+    m, every = brown_lm.fit(docs.filter(brown_lm.bucket(docs.doc_id, 7) != 2), 10, 5)
+    placed = {r.h: r for r in every.collect()}
+    name = lambda w: brown_lm.END_HASH if w is None else np.uint64(brown_lm.words(pa.array([w]), brown_lm.BLANK).hash[0]).view(np.int64)
+    ending = lambda w: brown_lm.END_UNIT if w is None else int(brown_lm.endings(brown_lm.words(pa.array([w]), brown_lm.BLANK))[0])
+    core = brown_lm.common_words(brown_lm.count_words(docs.filter(brown_lm.bucket(docs.doc_id, 7) != 2)), 5)
+    core_unit = {int(h): int(u) for h, u in zip(core.h.view(np.int64), core.unit)}
+    before = lambda w: int(m.classes[core_unit.get(int(name(w)), ending(w))])
+    c = Counter(w for ws in train.values() for w in ws)
+    assert {h: r.c for h, r in placed.items()} == {int(name(w)): n for w, n in c.items()}
+    cls = {w: placed[int(name(w))].g for w in c}
+    k = brown_lm.CLASSES
+    n = np.zeros((k, k))
+    after = {w: np.zeros(k) for w in c}
+    for ws in train.values():
+        for v, w in zip([None, *ws], ws):
+            n[before(v), cls[w]] += 1
+            after[w][before(v)] += 1
+    size, distinct = n.sum(0), np.bincount(list(cls.values()), minlength=k)
+    p = (n + brown_lm.PULL * (size + 1) / (size.sum() + k)) / (n.sum(1, keepdims=True) + brown_lm.PULL)
+    assert np.allclose(p, 10**m.step) and np.allclose(p.sum(1), 1)
+    assert (m.tokens, m.kinds) == (sum(c.values()), len(c))
+    emit = lambda w, g: (c[w] + 1) / (size[g] + distinct[g] + 1)
+    for g in range(k):
+        assert abs(sum(emit(w, g) for w in c if cls[w] == g) + 1 / (size[g] + distinct[g] + 1) - 1) < 1e-9
+    for r in brown_lm.report(docs, 10, 5).collect():
+        ws = split(rows[r.doc_id])
+        want = sum(math.log10(p[before(v), g] * emit(w, g)) for v, w in zip([None, *ws], ws) for g in [cls[w] if w in cls else int(m.unseen[ending(w)])])
+        assert abs(r.score - want) < 1e-6 * abs(want), r
+    # with what their endings give them, words would hardly be likelier in other classes
+    pool = np.zeros((brown_lm.UNITS, k))
+    for w in c:
+        pool[ending(w)] += after[w]
+    full = {w: after[w] + brown_lm.PRIOR * pool[ending(w)] / pool[ending(w)].sum() for w in c}
+    sums = np.zeros((k, k))
+    for w in c:
+        sums[:, cls[w]] += full[w]
+    q = np.log((sums + 0.01) / (sums.sum(0) + 0.01 * k))
+    own = sum(full[w] @ q[:, cls[w]] for w in c)
+    assert 0 <= sum((full[w] @ q).max() for w in c) - own <= 0.02 * abs(own)
+
+
+def test_rounds_never_lose(spark):
+    docs = table(spark, "documents").filter("doc_id < 400")
+    core = brown_lm.common_words(brown_lm.count_words(docs))
+    classes = brown_lm.exchange(brown_lm.count_bigrams(docs, core))
+    found = brown_lm.contexts(docs, core, classes).persist()
+    n, kinds, after = brown_lm.place(found, brown_lm.Rule(core, classes))
+    _, last, kinds2 = brown_lm.cluster(found, core, classes, 0.0)
+    assert after.sum() == n.sum()
+    assert brown_lm.likelihood(last) > brown_lm.likelihood(n) and n.sum() == last.sum() and (n.sum(1) == last.sum(1)).all()
+    assert kinds.sum() == kinds2.sum() == found.count() == brown_lm.count_words(docs).count()
+    assert (kinds.sum(1) == kinds2.sum(1)).all() and found.select("h").distinct().count() == found.count()
+    found.unpersist()
 
 
 def test_exchange_improves_likelihood():
@@ -147,12 +218,6 @@ def test_exchange_goes_on_until_no_move_is_better():
     assert (brown_lm.exchange(np.zeros((5, 5), np.int64), 2) == np.arange(5) % 2).all()
 
 
-def test_score_is_a_distribution():
-    """Emission and transition of a class sum to one over known words and one unknown share."""
-    table_ = brown_lm.Table(np.array([5, 9], np.uint64), np.array([3, 2]), np.array([0, 1]))
-    assert table_.find(np.array([9, 7, 5], np.uint64)).tolist() == [1, -1, 0]
-
-
 def test_brown_odd_rows(odd_docs, no_docs):
     out = brown_lm.report(odd_docs).collect()
     assert len(out) == odd_docs.count()
