@@ -7,14 +7,16 @@ when no shingle repeats. ProbMinHash lets every shingle throw points of a Poisso
 point lands in one of ``slots`` registers, which keep the earliest point; a shingle stops as soon as its next
 point is later than all registers (early termination).
 
-Texts with the same words are one class from the start, so copies are never paired. Registers are read in bands; in
+Texts with the same words are one node from the start, so copies are never paired. Registers are read in bands; in
 each bucket the members are first held against one pivot. Buckets that are then still in several components hold the
-members of each against the others': small ones by pairs, large ones in pairs of blocks, without making the pairs. Every
-link is verified exactly.
-
-Defined results: a null or empty text is in a class of its own; texts without words are in one class if equal;
-repeated rows of a doc_id have equal classes, and where their texts differ one of these, always the same, is compared; ties go to the smallest doc_id; an empty
-table gives no rows. A null doc_id is dropped by ``classes`` and kept by ``keep_first``.
+members of the smaller ones against all others: small buckets by pairs, large ones in blocks, without making the pairs; both
+compare the same members. Every link is verified exactly. Nodes are numbered rows, not doc_ids, so a doc_id may repeat.
+
+Defined results: every row gets a class. A null or empty text is in a class of its own, whose id is its doc_id; texts without words are in
+one class if equal; a very long text is one set like any other; rows that repeat a doc_id are documents of their own, each in the class of its
+text; a row without doc_id is in the class of its copies, or in one without an id; an empty table gives no rows; extra columns are
+ignored by ``classes`` and kept by ``keep_first``. Of a class one row stays: that of the smallest doc_id (rows without one come last), among equal ids that of
+the smallest hash of the text, among equal rows any.
 """
 
 from __future__ import annotations
@@ -34,9 +36,8 @@ from ._text import Words, mix, words
 WORDS, SIMILARITY = 5, 0.8
 #: At 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 25 = 5e-5.
 BANDS, ROWS = 25, 5
-#: Buckets up to this size may pair their members; larger ones are compared in blocks of so many rows or bytes of shingles at most.
-SMALL_BUCKET, BLOCK_ROWS, BLOCK_BYTES = 48, 256, 8 << 20
-SALTS = 64
+#: Buckets up to this size pair their members; larger ones are compared in blocks of so many rows or bytes of shingles, about.
+SMALL_BUCKET, BLOCK_ROWS, BLOCK_BYTES = 48, 1024, 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MULT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -105,34 +106,39 @@ def similarity(ka: np.ndarray, wa: np.ndarray, kb: np.ndarray, wb: np.ndarray) -
     return float(sum(k / (only_a / x + only_b / y + (times * np.maximum(pairs[:, 0] / x, pairs[:, 1] / y)).sum()) for (x, y), k in zip(pairs, times)))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, text): ``own`` names the text among those of one doc_id."""
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text")
+
+
 def sketch(docs: DataFrame, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, digest of the words, band keys): one row a document."""
+    """(doc_id, own, digest of the words, band keys): one row for each of ``docs``; no digest for null and empty texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                ids, text = part.column(0).to_pylist(), text_column(part)
+                text = text_column(part)
                 w = words(text)
-                sig = signatures(len(ids), *shingles(w, n), bands * rows).reshape(len(ids), bands, rows)
-                band = np.full((len(ids), bands), np.arange(bands, dtype=np.uint64))
+                sig = signatures(len(text), *shingles(w, n), bands * rows).reshape(len(text), bands, rows)
+                band = np.full((len(text), bands), np.arange(bands, dtype=np.uint64))
                 for k in range(rows):
                     band = mix(band * _MULT + sig[:, :, k])
                 band = band.astype(np.int64)
                 digests = []
-                for d, doc in enumerate(ids):
+                for d in range(len(text)):
                     own = w.hash[w.first[d] : w.first[d + 1]]
-                    raw = own.tobytes() if len(own) else b"\0" + (text[d].as_py().encode() or b"\0%d" % doc)
-                    digests.append(hashlib.blake2b(raw, digest_size=16).digest())
+                    raw = own.tobytes() if len(own) else b"\0" + text[d].as_py().encode()
+                    digests.append(hashlib.blake2b(raw, digest_size=16).digest() if len(raw) > 1 else None)
                 some = w.counts() > 0
                 offsets = np.r_[0, np.cumsum(np.where(some, bands, 0))].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[some].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), lists], names=["doc_id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), lists], names=["doc_id", "own", "digest", "bands"])
 
-    return small_batches(docs).filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, own long, digest binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(id, keys, weights): the weighted shingle set of each document as packed arrays."""
+def shingle_sets(texts: DataFrame, n: int = WORDS) -> DataFrame:
+    """(id, keys, weights): the weighted shingle set of each text (id, text) as packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +149,7 @@ def shingle_sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
                 weights = [b"" if (weight[a:b] == 1).all() else weight[a:b].astype(np.uint32).tobytes() for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(weights, pa.binary())], names=["id", "keys", "weights"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, keys binary, weights binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, keys binary, weights binary")
 
 
 def _unpack(k: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -170,31 +176,41 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Data
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id): class_id is the smallest doc_id that links of similarity ``least`` reach."""
-    sketched = cut(sketch(docs, n, bands, rows))
-    firsts = sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    own = sketched.join(firsts.withColumnRenamed("digest", "first_digest"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("first_digest")))
-    banded = own.select("rep", F.explode("bands").alias("band")).dropDuplicates(["band", "rep"])
+    """(doc_id, own, class_id, kept), one row for each of ``docs``: class_id is the smallest doc_id that links of similarity ``least`` reach, ``kept`` holds for one row of a class."""
+    plain = not ids_repeat(docs) and not has_rows(docs.select("doc_id").filter("doc_id is null"))
+    sketched = cut(sketch(docs, n, bands, rows).withColumn("row", F.monotonically_increasing_id()))
+    nodes = sketched.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("low"))
+    own = sketched.join(nodes.select(F.col("rep").alias("row")), "row")
+    banded = own.select(F.col("row").alias("rep"), F.explode("bands").alias("band")).dropDuplicates(["band", "rep"])
     buckets = banded.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).filter("pivot <> top").drop("top")
     members = cut(banded.join(buckets, "band").select("band", "rep", "pivot"))
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = shingle_sets(texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi"), n)
-    if ids_repeat(docs):
-        sets = sets.groupBy("id").agg(F.max(F.struct("keys", "weights")).alias("s")).select("id", "s.*")
-    sets = cut(sets)
+    wanted = members.select(F.col("rep").alias("row")).distinct().join(sketched.select("row", "doc_id", "own"), "row")
+    wanted = wanted.select(F.col("row").alias("id"), F.col("doc_id").alias("__id"), F.col("own").alias("__own"))
+    sets = shingle_sets(_texts(docs).join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("own") == F.col("__own"))), n)
+    sets = cut(sets if plain else sets.groupBy("id").agg(F.max(F.struct("keys", "weights")).alias("s")).select("id", "s.*"))
 
     star = members.filter("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("shared"))
     best = star.groupBy("rep").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
     comp = _join_up(None, verify(best.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), sets, least))
     comp = _join_up(comp, verify(_apart(star.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), comp), sets, least))
-    small, large = _open(members, comp)
-    comp = _join_up(comp, verify(small, sets, least))
+    open_ = _open(members, comp)
+    comp = _join_up(comp, verify(_pairs(open_), sets, least))
+    large = open_.filter(f"n > {SMALL_BUCKET}").select("band", "rep", "pivot")
     if has_rows(large):
-        comp = _join_up(comp, _in_blocks(large, comp, sets, least))
-    reps = firsts.join(comp, F.col("rep") == F.col("id"), "left") if comp is not None else firsts.withColumn("component", F.lit(None).cast("long"))
-    reps = reps.select("digest", F.coalesce("component", "rep").alias("class_id"))
-    return sketched.join(reps, "digest").select("doc_id", "class_id")
+        comp = _join_up(comp, _in_blocks(_open(large, comp), sets, least))
+    if comp is None:
+        found = nodes.select("digest", F.col("rep").alias("class"), F.col("low").alias("class_id"))
+    else:
+        linked = nodes.join(comp, F.col("rep") == F.col("id"), "left").select("digest", "rep", "low", "component")
+        lows = linked.filter("component is not null").groupBy("component").agg(F.min("low").alias("least_id"))
+        found = linked.join(lows, "component", "left").select("digest", F.coalesce("component", "rep").alias("class"), F.coalesce("least_id", "low").alias("class_id"))
+    out = sketched.select("row", "doc_id", "own", "digest").join(found, "digest", "left")
+    out = out.withColumn("class_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
+    if plain:
+        return out.select("doc_id", "own", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    first = out.filter("digest is not null and doc_id <=> class_id").groupBy("class").agg(F.min(F.struct("own", "row")).alias("first"))
+    out = out.join(first.select(F.col("first.row").alias("first")), F.col("row") == F.col("first"), "left")
+    return out.select("doc_id", "own", "class_id", (F.col("digest").isNull() | F.col("first").isNotNull()).alias("kept"))
 
 
 def _join_up(comp: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -220,49 +236,52 @@ def _apart(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
     return both.filter("a_comp <> b_comp").select("a", "b")
 
 
-def _open(members: DataFrame, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Buckets that are still in several components: pairs (a, b) of the small ones, (rep, pivot) of the large ones.
+def _open(members: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(band, rep, rep_comp, main, n) of the buckets that are still in several components; ``main`` is the largest of these, n the bucket's size.
 
-    The pivot has met all members, so it is left out of the pairs. A member of the largest component meets only others.
+    The pivot has met all members, so it is left out.
     """
     known = _with_component(members, comp, "rep")
     size = known.groupBy("band", "rep_comp").agg(F.count(F.lit(1)).alias("n"))
     main = size.groupBy("band").agg(F.max_by("rep_comp", F.struct("n", "rep_comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"))
-    here = cut(known.join(main.filter("comps > 1"), "band").select("band", "rep", "pivot", "rep_comp", "main", "n"))
-    small = here.filter(f"n <= {SMALL_BUCKET} and rep <> pivot")
+    return cut(known.join(main.filter("comps > 1"), "band").select("band", "rep", "pivot", "rep_comp", "main", "n")).filter("rep <> pivot")
+
+
+def _pairs(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in small buckets; members of the main component meet only others."""
+    small = open_.filter(f"n <= {SMALL_BUCKET}")
     left = small.filter("rep_comp <> main").select("band", F.col("rep").alias("a"), F.col("rep_comp").alias("a_comp"))
     right = small.select("band", F.col("rep").alias("b"), F.col("rep_comp").alias("b_comp"), "main")
     pairs = left.join(right, "band").filter("a_comp <> b_comp and (b_comp = main or a < b)")
-    large = here.filter(f"n > {SMALL_BUCKET}").select("rep", "pivot").distinct()
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), large
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _in_blocks(large: DataFrame, comp: DataFrame | None, sets: DataFrame, least: float) -> DataFrame:
+def _in_blocks(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b) that join all components which links within large buckets join.
 
-    Buckets that share members are one group; its members are dealt into blocks of bounded size, and each pair of blocks is
-    one task that counts shared shingles by an inverted index. It returns a spanning forest, so neither the pairs nor a
-    group ever stand in one place.
+    Members outside the main component (the left side) meet all members (the right side). Each side is dealt into blocks of bounded size;
+    a left and a right block are one task, which counts shared shingles by an inverted index and returns a spanning forest. So neither
+    the pairs nor a bucket ever stand in one place, and a bucket whose left side is one block sends its right side once. Buckets of equal members are one.
     """
-    groups = components(large.filter("rep <> pivot"), "rep", "pivot").withColumnRenamed("component", "grp")
-    full = _with_component(groups.withColumnRenamed("id", "rep"), comp, "rep").join(sets, F.col("rep") == F.col("id")).drop("id")
-    sizes = full.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("keys")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a group's members are in one task nowhere
-    dealt = full.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["grp", "salt"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "rep_comp", "keys", "weights")
+    key = open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("rep"), 40)).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"))
+    once = key.groupBy("n", "s", "x").agg(F.min("band").alias("band")).select("band")
+    here = open_.join(once, "band").join(sets.select("id", "keys", "weights"), F.col("rep") == F.col("id")).drop("id")
+    both = here.select("*", F.explode(F.when(F.col("rep_comp") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("left"))
+    sized = lambda left: F.greatest(F.lit(1), F.ceil(F.count_if(left) / BLOCK_ROWS), F.ceil(F.sum(F.when(left, F.length("keys"))) / BLOCK_BYTES)).cast("int")
+    blocks = both.groupBy("band").agg(sized(F.col("left")).alias("nl"), sized(~F.col("left")).alias("nr"))
+    dealt = both.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("left"), F.col("nl")).otherwise(F.col("nr"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("nr")).otherwise(F.col("nl")) - 1)))
+    i, j = F.when(F.col("left"), F.col("own")).otherwise(F.col("other")), F.when(F.col("left"), F.col("other")).otherwise(F.col("own"))
+    dealt = dealt.select("band", i.alias("i"), j.alias("j"), "left", "rep", "rep_comp", "keys", "weights")
 
     def one(table: pa.Table) -> pa.Table:
-        first = table.column("block").to_numpy() == table.column("i")[0].as_py()
-        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        left = table.column("left").to_numpy(zero_copy_only=False)
         rep, tag = table.column("rep").to_numpy(), table.column("rep_comp").to_numpy()
         held = [_unpack(k.as_py(), w.as_py()) for k, w in zip(table.column("keys"), table.column("weights"))]
-        a = np.flatnonzero(first)
-        b = a if same else np.flatnonzero(~first)
-        links = _forest(a, b, rep, tag, held, least)
+        links = _forest(np.flatnonzero(left), np.flatnonzero(~left), rep, tag, held, least)
         return pa.table({"a": pa.array([int(rep[x]) for x, _ in links], pa.int64()), "b": pa.array([int(rep[y]) for _, y in links], pa.int64())})
 
-    return dealt.groupBy("grp", "i", "j").applyInArrow(one, "a long, b long")
+    return dealt.groupBy("band", "i", "j").applyInArrow(one, "a long, b long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, rep: np.ndarray, tag: np.ndarray, held: list, least: float) -> list[tuple[int, int]]:
@@ -306,6 +325,19 @@ def _forest(a: np.ndarray, b: np.ndarray, rep: np.ndarray, tag: np.ndarray, held
 
 
 def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its class's smallest; rows without a doc_id stay."""
-    drop = classes(docs, least).filter("doc_id <> class_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(drop.hint("shuffle_hash"), F.col("doc_id") == F.col("__copy"), "left_anti")
+    """The rows of ``docs`` that are their class's first, all columns."""
+    found = classes(docs, least)
+    if not ids_repeat(docs) and not has_rows(docs.select("doc_id").filter("doc_id is null")):
+        drop = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__copy"))
+        return docs.join(drop.hint("shuffle_hash"), F.col("doc_id") == F.col("__copy"), "left_anti")
+    # rows are told apart by id and text; of equal rows one stays
+    found = cut(found)
+    names = [F.col("doc_id").alias("__id"), F.col("own").alias("__own")]
+    some = found.groupBy("doc_id", "own").agg(F.count_if("kept").alias("k"), F.count(F.lit(1)).alias("n"))
+    gone = some.filter("k = 0").select(*names)
+    twice = some.filter("k > 0 and n > k").select(*names)
+    rows = docs.withColumn("__text", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__own"))
+    single = rows.join(gone.unionByName(twice).hint("shuffle_hash"), same, "left_anti")
+    first = rows.join(twice.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "__text"])
+    return single.unionByName(first).drop("__text")

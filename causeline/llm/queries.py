@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import brown_lm, decontam, embed_dup, lang_id, line_dedup, near_dup, packing, secrets, token_count, toxicity
 
@@ -25,8 +24,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dup.classes(_read(spark, sf_dir, "documents"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return near_dup.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,11 +72,40 @@ def test_classes_against_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in nd.classes(df).collect()} == want
 
 
+def test_repeated_ids(spark, monkeypatch):
+    """Rows, not ids, are compared: no text that has no copy is lost, and no link."""
+    rnd = random.Random(5)
+    x, y, z = (" ".join(f"{c}{rnd.randint(0, 999)}" for _ in range(60)) for c in "xyz")
+    rows = [(5, x), (5, y), (3, y), (7, z + " a"), (7, x + " b"), (8, z + " tail"), (9, x + " tail"), (None, y + " c"), (None, "alone here"), (None, "alone here"), (11, ""), (11, ""), (None, None), (4, y), (4, y)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, nr long").repartition(3)
+    want = {x: 5, y: 3, z + " a": 7, x + " b": 5, z + " tail": 7, x + " tail": 5, y + " c": 3, "alone here": None}
+    got = nd.classes(df.withColumn("text", df.text)).collect()
+    assert len(got) == len(rows)
+    own = {(r.doc_id, r.h): want.get(r.text, r.doc_id) for r in df.selectExpr("doc_id", "text", "xxhash64(text) h").collect()}
+    assert all(r.class_id == own[r.doc_id, r.own] for r in got)
+    kept = nd.keep_first(df)
+    assert kept.columns == df.columns
+    texts = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert texts == sorted([(5, x), (3, y), (7, z + " a"), (None, "alone here"), (11, ""), (11, ""), (None, None)], key=str)
+    assert sum(r.kept for r in got) == len(texts)
+
+
+def test_hot_bucket_of_unlike_texts(spark, monkeypatch):
+    """A bucket that falls into many components, in many blocks, has the links it has by pairs."""
+    rows = corpus(120, 8, 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = lambda: {r.doc_id: r.class_id for r in nd.classes(df, 0.95, bands=2, rows=1).collect()}
+    pairs = by()
+    monkeypatch.setattr(nd, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(nd, "BLOCK_ROWS", 3)
+    assert by() == pairs
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = {}
     for r in nd.classes(odd_docs).collect():
         got.setdefault(r.doc_id, set()).add(r.class_id)
-    assert got[7] == {6} and got[8] == {6} and got[0] == {0} and got[1] == {1} and len(got) == 20
+    assert got[7] == {6} and got[8] == {6} and got[0] == {0} and got[1] == {1} and len(got) == 21 and got[None] == {6, None}
     kept = nd.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns
     assert {r.doc_id for r in kept.collect()} >= {None, 0, 1, 6} and not kept.filter("doc_id = 7").count()
