@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
@@ -18,16 +18,42 @@ BATCH_ROWS = 1000
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the session names.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests on one
-    machine) a folder of our own is used. A lost executor never loses the rows.
+    A lost executor never loses the rows.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="causeline-ckpt-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a session on one machine gets a folder of its own; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir()
+    if folder is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="causeline-ckpt-")
+        sc.setCheckpointDir(folder)
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads; none if there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there in full: its files appear when the job commits."""
+    return any(n.startswith("part-") for n in children(spark, path))
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """The same rows; from here on the session makes Arrow batches of ``BATCH_ROWS`` rows at most."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

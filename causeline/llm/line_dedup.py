@@ -4,14 +4,16 @@ Every line of at least ``min_chars`` code points (stripped of ASCII white space,
 16-byte key. The *postings* hold each (key, document) once, the *counts* hold per key the exact number of
 documents and the largest document id (the keeper). Keys are dealt over hash shards; each shard has a
 cuckoo filter of the keys whose count reached ``min_docs``. A scan probes the filter of a line's shard, so
-only lines that are (nearly surely) common travel to the exact tables, which alone decide.
+only lines that are (nearly surely) common travel to the exact tables, which alone decide. Filters that are small in all are sent to
+every task; beyond that each shard's lines are brought to its filter.
 
 Deleting documents removes their postings, lowers the counts and deletes the keys that fell below the
 bound from the filters, so what an insertion caused can be undone (``LineIndex``).
 
 Defined results: a null or empty text is one empty line and loses nothing; repeated rows of one doc_id
-count as one document; columns other than ``doc_id`` and ``text`` pass through untouched in ``dedup``.
-A null doc_id is no document: its row is kept, unchanged, and counts nowhere.
+count as one document, whose texts all lose what one of them would; columns other than ``doc_id`` and ``text`` pass through untouched
+in ``dedup``. A null doc_id is no document: its row is kept, unchanged, and counts nowhere. Of documents that tie for a line the largest
+doc_id keeps it, in all its places. A very long text is split whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import cut, ids_repeat, small_batches
+from ._spark import children, cut, ids_repeat, small_batches, written
 
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
 KEYS_PER_SHARD = 100_000
 MIN_SHARDS = 64
-#: Filters are sent to every executor only up to this size in all; beyond it every posting goes to the exact tables.
+#: Filters are sent to every executor only up to this size in all; beyond it lines are brought to their shard's filter.
 FILTER_BROADCAST_BYTES = 32 << 20
+#: Tasks that one shard's lines are dealt to there.
+SALTS = 64
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -188,6 +192,41 @@ def _shard(shards: int):
     return ((b[0] + b[1] * 256 + b[2] * 65536 + b[3] * 16777216) % shards).cast("int")
 
 
+def probe(posted: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The postings that the filter of their shard may hold, without sending all filters anywhere.
+
+    Each filter goes ahead of its shard's postings in a sorted stream, so a task holds one filter at a time.
+    """
+    ahead = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), F.col("blob").alias("key"), F.lit(None).cast("long").alias("doc_id"))
+    behind = posted.select(_shard(shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "key", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = None, None
+        for batch in batches:
+            group = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            edge = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1 if len(group) else []
+            for a, b in zip([0, *edge], [*edge, len(group)]):
+                if a == b:
+                    continue
+                shard, salt, kind = group[a]
+                if kind == 0:
+                    held, of = CuckooFilter.load(batch.column(3)[int(a)].as_py()), (shard, salt)
+                elif of == (shard, salt):
+                    own = batch.slice(a, b - a).select(["key", "doc_id"])
+                    yield own.filter(pa.array(held.hits(own.column(0).to_pylist())))
+
+    both = ahead.unionByName(behind).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    return both.mapInArrow(run, "key binary, doc_id long")
+
+
+def probed(docs: DataFrame, filters: DataFrame, size: int, min_chars: int, shards: int) -> DataFrame:
+    """Postings of ``docs`` that the filters, ``size`` bytes in all, may hold."""
+    if size > FILTER_BROADCAST_BYTES:
+        return probe(postings(docs, min_chars), filters, shards)
+    held = docs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in filters.toLocalIterator()})
+    return postings(docs, min_chars, held, shards)
+
+
 def shard_count(n_keys: int) -> int:
     return max(MIN_SHARDS, -(-n_keys // KEYS_PER_SHARD))
 
@@ -198,17 +237,13 @@ def _one_row_each(docs: DataFrame) -> DataFrame:
 
 def find_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, keys): the line keys that each document loses."""
-    spark = docs.sparkSession
     posted = postings(docs, min_chars)
     if ids_repeat(docs):
         posted = _one_row_each(posted)
     common = cut(reference_counts(posted).filter(F.col("refs") >= min_docs))
     n = common.count()
     shards = shard_count(n)
-    filters = None
-    if n * 6 <= FILTER_BROADCAST_BYTES:  # 16 bits a slot, at most half of the slots free, and headers
-        filters = spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in build_filters(common, shards).toLocalIterator()})
-    again = postings(docs, min_chars, filters, shards)
+    again = probed(docs, build_filters(common, shards), n * 6, min_chars, shards)  # 16 bits a slot, at most half of the slots free, and headers
     lost = again.join(common.drop("refs"), "key").filter(F.col("doc_id") < F.col("keeper"))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("__drop_keys"))
 
@@ -257,32 +292,47 @@ def rewrite(both: DataFrame, min_chars: int, counts: bool = True) -> DataFrame:
 
 
 class LineIndex:
-    """The index kept between batches, as Parquet under ``path`` (a shared folder): postings, counts and filters.
+    """The index kept between batches and sessions, as Parquet under ``path`` (a shared folder): postings, counts and filters.
 
     ``insert`` and ``delete`` write a new generation and read only the last one, so an interrupted call leaves
-    the old generation whole. Inserting a document again replaces its postings.
+    the old generation whole; a generation counts once its ``state``, written last, is there. Opening a path again goes on
+    from its last generation, and only with the settings it was made with. One writer at a time. Inserting a document again replaces its postings.
     """
 
     def __init__(self, spark: SparkSession, path: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = MIN_SHARDS):
-        self.spark, self.path, self.min_chars, self.min_docs, self.shards, self.generation = spark, path, min_chars, min_docs, shards, 0
+        self.spark, self.path, self.min_chars, self.min_docs, self.shards = spark, path, min_chars, min_docs, shards
+        if self.generation:
+            made = tuple(self.table("state").first())
+            if made != (min_chars, min_docs, shards):
+                raise ValueError(f"the index at {path} was made with min_chars, min_docs, shards = {made}")
+
+    @property
+    def generation(self) -> int:
+        """Number of the last generation that was written in full, 0 if there is none."""
+        for n in sorted((int(n) for n in children(self.spark, self.path) if n.isdigit()), reverse=True):
+            if written(self.spark, f"{self.path}/{n}/state"):
+                return n
+        return 0
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.generation}/{name}")
 
     def _write(self, posted: DataFrame) -> None:
-        old, new = self.generation, self.generation + 1
-        posted.write.mode("overwrite").parquet(f"{self.path}/{new}/postings")
-        posted = self.spark.read.parquet(f"{self.path}/{new}/postings")
-        reference_counts(posted).write.mode("overwrite").parquet(f"{self.path}/{new}/counts")
-        now = self.spark.read.parquet(f"{self.path}/{new}/counts").filter(F.col("refs") >= self.min_docs).select("key")
+        old = self.generation
+        new = f"{self.path}/{old + 1}"
+        posted.write.mode("overwrite").parquet(f"{new}/postings")
+        posted = self.spark.read.parquet(f"{new}/postings")
+        reference_counts(posted).write.mode("overwrite").parquet(f"{new}/counts")
+        now = self.spark.read.parquet(f"{new}/counts").filter(F.col("refs") >= self.min_docs).select("key")
         if old:
             before = self.table("counts").filter(F.col("refs") >= self.min_docs).select("key")
             change = now.join(before, "key", "left_anti").withColumn("sign", F.lit(1)).unionByName(before.join(now, "key", "left_anti").withColumn("sign", F.lit(-1)))
             filters = self._patched(self.table("filters"), change, now)
         else:
             filters = build_filters(now, self.shards)
-        filters.write.mode("overwrite").parquet(f"{self.path}/{new}/filters")
-        self.generation = new
+        filters.write.mode("overwrite").parquet(f"{new}/filters")
+        state = self.spark.createDataFrame([(self.min_chars, self.min_docs, self.shards)], "min_chars int, min_docs int, shards int")
+        state.coalesce(1).write.mode("overwrite").parquet(f"{new}/state")
 
     def _patched(self, filters: DataFrame, change: DataFrame, now: DataFrame) -> DataFrame:
         """Add and delete the changed keys in each shard's filter; a filter that would get more keys than it has room for is made anew from its keys ``now``."""
@@ -316,10 +366,9 @@ class LineIndex:
     def dedup(self, docs: DataFrame) -> DataFrame:
         """``docs`` (documents of the index) as they stand now, by the index's filters and counts."""
         common = self.table("counts").filter(F.col("refs") >= self.min_docs).select("key", "keeper")
-        filters = None
-        if (self.table("filters").agg(F.sum(F.length("blob"))).first()[0] or 0) <= FILTER_BROADCAST_BYTES:
-            filters = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in self.table("filters").toLocalIterator()})
-        lost = postings(docs, self.min_chars, filters, self.shards).join(common, "key").filter(F.col("doc_id") < F.col("keeper"))
+        filters = self.table("filters")
+        size = filters.agg(F.sum(F.length("blob"))).first()[0] or 0
+        lost = probed(docs, filters, size, self.min_chars, self.shards).join(common, "key").filter(F.col("doc_id") < F.col("keeper"))
         lost = lost.groupBy("doc_id").agg(F.collect_set("key").alias("__drop_keys")).withColumnRenamed("doc_id", "__lost_id")
         both = docs.join(lost.hint("shuffle_hash"), F.col("doc_id") == F.col("__lost_id"), "left").drop("__lost_id")
         return rewrite(both, self.min_chars)

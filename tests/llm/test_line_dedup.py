@@ -3,6 +3,9 @@ import random
 
 from pyspark.sql import functions as F
 
+import pytest
+
+from causeline.llm import line_dedup
 from causeline.llm.line_dedup import CuckooFilter, LineIndex, dedup, digest, line_key
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -28,7 +31,9 @@ def brute(rows, least=40, docs=5):
     return out
 
 
-def test_brute_force(spark):
+@pytest.mark.parametrize("sent", [32 << 20, 0])  # filters sent to all tasks, or lines brought to them
+def test_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "FILTER_BROADCAST_BYTES", sent)
     rnd = random.Random(4)
     pool = ["Common line number %d that is certainly longer than forty" % k for k in range(12)] + ["é" * 39, "é" * 40, "short"]
     rows = [(i, "\n".join(rnd.choice(["", " ", "\t", "\r"]) + rnd.choice([x, x.upper()]) for x in rnd.choices(pool, k=rnd.randint(0, 6)))) for i in range(60)]
@@ -105,3 +110,36 @@ def test_index_grown_beyond_its_filters(spark, tmp_path):
     left = docs(grown[1:])
     rows = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
     assert rows(index.dedup(left)) == rows(dedup(left))
+
+
+def test_index_opened_again(spark, tmp_path):
+    """A second object goes on where the first one ended; what was not written in full doesn't count."""
+    rnd = random.Random(6)
+    line = lambda k: f"{k} is a line that is long enough to be counted as a key"
+    rows = {d: "\n".join(line(rnd.randint(0, 30)) for _ in range(8)) for d in range(30)}
+    docs = lambda ids: spark.createDataFrame([(d, rows[d]) for d in ids], "doc_id long, text string")
+    path = str(tmp_path / "index")
+    LineIndex(spark, path, shards=2).insert(docs(range(15)))
+    LineIndex(spark, path, shards=2).insert(docs(range(15, 30)))
+    second = LineIndex(spark, path, shards=2)
+    second.delete(docs(range(0, 30, 4)).select("doc_id"))
+    second.table("postings").limit(1).write.parquet(f"{path}/{second.generation + 1}/postings")  # an interrupted call
+    left = [d for d in rows if d % 4]
+    third = LineIndex(spark, path, shards=2)
+    assert third.generation == second.generation == 3
+    got = {r.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in third.dedup(docs(left)).collect()}
+    assert got == brute([(d, rows[d]) for d in left])
+    third.insert(docs([0, 4]))
+    left = sorted([*left, 0, 4])
+    got = {r.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in LineIndex(spark, path, shards=2).dedup(docs(left)).collect()}
+    assert got == brute([(d, rows[d]) for d in left])
+    with pytest.raises(ValueError):
+        LineIndex(spark, path, min_docs=3, shards=2)
+
+
+def test_repeated_ids(spark):
+    """Rows of one doc_id are one document: they count once and lose the same lines."""
+    line = "A sentence that every one of these documents holds, word for word."
+    rows = [(k, line) for k in range(4)] + [(2, line + "\nother"), (4, line), (4, "more\n" + line), (None, line)]
+    out = dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(0, ""), (1, ""), (2, ""), (3, ""), (2, "other"), (4, line), (4, "more\n" + line), (None, line)], key=str)
