@@ -2,22 +2,28 @@
 
 Every version of a text is a blob named by its SHA-256. The ledger lists the (blob, rule, version) triples
 that were scanned and keeps their findings; a scan takes the distinct blobs it has not seen under a rule's
-version, reads each of those texts once, however many paths hold it, and joins findings back to all paths.
+version, reads each of those texts once, however many paths hold it, runs on it the rules it lacks and no others, and joins
+findings back to all paths.
 
 Positions are code points. Matches of a rule are leftmost and do not overlap: ``\\G(.*?)(rule)`` yields
-the gap before each match in one pass, so starts are running sums of lengths.
+the gap before each match in one pass, so starts are running sums of lengths, taken over rows of matches: a text of many matches
+costs in proportion.
 
-Defined results: a null text is the empty text; equal texts have equal findings on every row; a row without
-doc_id is scanned and returned like any other; extra columns are ignored.
+Defined results: a null text is the empty text; equal texts have equal findings on every row, repeated rows included; a row without
+doc_id is scanned and returned like any other; a very long text is searched whole; of equal starts the rule listed first comes first; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._spark import shared_folder, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -43,23 +49,15 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+MATCH = "array<struct<gap:int,hit:int,ok:boolean>>"
 
 
-def _found(text: Column, rule: Rule, rank: int) -> Column:
-    """Spans of one rule in a text."""
+def _matches(text: Column, rule: Rule) -> Column:
+    """A rule's matches in a text: lengths of the gap before and of the match, and whether it counts."""
     whole = rf"\G(?s:(.*?))({rule.pattern})"
     part = lambda k: F.regexp_extract_all(text, F.lit(whole), F.lit(k))
     steps = F.arrays_zip(part(1).alias("gap"), part(2).alias("hit"), part(3).alias("value"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        ok = F.length(x["value"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["spans"], F.array(one))).otherwise(acc["spans"]).alias("spans"))
-
-    none = F.array().cast(SPAN)
-    spans = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    found = F.transform(steps, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), (F.length(x["value"]) >= rule.least).alias("ok")))
     may = F.lit(True)
     if rule.hints:
         may = F.lit(False)
@@ -67,13 +65,30 @@ def _found(text: Column, rule: Rule, rank: int) -> Column:
             may = may | F.contains(F.lower(text), F.lit(h))
     if rule.quick:
         may = may & text.rlike(rule.quick)
-    return F.when(may, spans).otherwise(none)
+    return F.when(may, found).otherwise(F.array().cast(MATCH))
 
 
 def find(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds ``found``: one entry a rule (kind, version, spans) for each row's ``text``."""
-    cols = [F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), _found(F.col("text"), r, k).alias("spans")) for k, r in enumerate(rules)]
-    return texts.withColumn("found", F.array(*cols))
+    """(blob, rule, version, rank, matches) for each rule in the ``todo`` of a (blob, text, todo); no other rule runs on it."""
+    def lacks(r: Rule) -> Column:
+        return F.exists("todo", lambda p: (p["rule"] == r.kind) & (p["version"] == r.version))
+
+    cols = []
+    for k, r in enumerate(rules):
+        one = F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.lit(k).alias("rank"), _matches(F.col("text"), r).alias("matches"))
+        cols.append(F.when(lacks(r), one))
+    each = texts.select("blob", F.explode(F.array(*cols)).alias("f")).filter("f is not null")
+    return each.select("blob", "f.*")
+
+
+def positions(found: DataFrame) -> DataFrame:
+    """(blob, rule, version, spans) of those that have spans."""
+    once = found.filter(F.size("matches") > 0).dropDuplicates(["blob", "rule", "version"])
+    rows = once.select("blob", "rule", "version", "rank", F.posexplode("matches").alias("at", "m"))
+    upto = F.sum(F.col("m.gap") + F.col("m.hit")).over(Window.partitionBy("blob", "rule", "version").orderBy("at")).cast("int")
+    rows = rows.withColumn("end", upto).filter("m.ok")
+    span = F.struct((F.col("end") - F.col("m.hit")).alias("start"), "rank", F.col("rule").alias("kind"), "end")
+    return rows.groupBy("blob", "rule", "version").agg(F.array_sort(F.collect_list(span)).cast(SPAN).alias("spans"))
 
 
 def addresses(docs: DataFrame, path: str = "doc_id") -> DataFrame:
@@ -82,23 +97,17 @@ def addresses(docs: DataFrame, path: str = "doc_id") -> DataFrame:
 
 
 class BlobLedger:
-    """Ledger as Parquet under ``path`` (a shared folder), or kept nowhere if ``path`` is None.
+    """Ledger as Parquet under ``path``, a folder that driver and executors share.
 
     ``ledger``: blob, rule, version. ``findings``: blob, rule, version, spans, for blobs that have any. Findings are written before the ledger,
-    so an interrupted scan is repeated and its rows, if twice there, count once.
+    so an interrupted scan is repeated and its rows, if twice there, count once. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, rules: tuple[Rule, ...] = RULES):
+    def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES):
         self.spark, self.path, self.rules = spark, path, rules
 
     def _read(self, name: str) -> DataFrame | None:
-        if not self.path:
-            return None
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
-            return None
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}") if written(self.spark, f"{self.path}/{name}") else None
 
     def unseen(self, docs: DataFrame) -> DataFrame:
         """(blob, text, todo): each blob that lacks a rule's version, with one of its texts and the rules it lacks."""
@@ -120,15 +129,9 @@ class BlobLedger:
 
     def scan(self, docs: DataFrame) -> DataFrame:
         """Scan what is unseen; returns the findings (blob, rule, version, spans) of the ledger's rules."""
-        new = find(self.unseen(docs), self.rules)
-        each = new.select("blob", "todo", F.explode("found").alias("f")).select("blob", "todo", "f.*")
-        each = each.filter(F.exists("todo", lambda p: (p["rule"] == F.col("rule")) & (p["version"] == F.col("version")))).drop("todo")
-        found = each.filter(F.size("spans") > 0)
-        if not self.path:
-            return found.dropDuplicates(["blob", "rule", "version"])
-        each.write.mode("overwrite").parquet(f"{self.path}/pending")
+        find(self.unseen(docs), self.rules).write.mode("overwrite").parquet(f"{self.path}/pending")
         pending = self.spark.read.parquet(f"{self.path}/pending")
-        pending.filter(F.size("spans") > 0).write.mode("append").parquet(f"{self.path}/findings")
+        positions(pending).write.mode("append").parquet(f"{self.path}/findings")
         pending.select("blob", "rule", "version").distinct().write.mode("append").parquet(f"{self.path}/ledger")
         rules = self.spark.createDataFrame([(r.kind, r.version) for r in self.rules], "rule string, version int")
         return self._read("findings").join(F.broadcast(rules), ["rule", "version"]).dropDuplicates(["blob", "rule", "version"])
@@ -145,8 +148,9 @@ def joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The query's columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    rows = BlobLedger(docs.sparkSession).by_path(docs)
+    """The query's columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans; by a new ledger in the shared folder."""
+    spark = docs.sparkSession
+    rows = BlobLedger(spark, f"{shared_folder(spark)}/secrets-{uuid.uuid4().hex}").by_path(docs)
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select(F.col("path").alias("doc_id"), *[n(k) for k in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
