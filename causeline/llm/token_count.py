@@ -2,18 +2,21 @@
 
 Pre-tokens not seen before are held as ragged arrays of symbols, many at once. In each round every sequence
 finds its lowest-ranked pair and merges all places of that pair at the same time (from the left where they
-overlap); a sequence without a ranked pair is done, and its surviving symbols are its tokens. Pre-tokens repeat, so
-their counts are kept, per stretch between blanks, in a bounded cache that lives as long as the Python worker.
+overlap); a sequence without a ranked pair is done, and its surviving symbols are its tokens. In long sequences the same is done
+with a list of places for each rank, so that a round touches only the pairs it merges and their neighbours. Pre-tokens repeat, so
+their counts are kept, per stretch between blanks, in a cache of bounded bytes that lives as long as the Python worker.
 
 Splitting before a blank that follows a non-blank never cuts a pre-token, so such stretches are counted apart;
 texts with other white space than space, tab and line ends are split by the full pattern instead. A special
 token's string is one token, as the library has it by default.
 
-Defined results: null and empty texts have 0 tokens; repeated rows and rows without doc_id are counted each; extra columns are ignored.
+Defined results: null and empty texts have 0 tokens; repeated rows and rows without doc_id are counted each; a very long text, or one very
+long word, is counted whole; ties between pairs go to the lower rank, and of overlapping places to the left one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import zlib
@@ -28,7 +31,10 @@ from pyspark.sql import functions as F
 from ._spark import slices, small_batches, text_column
 
 LIMIT = 512
-CACHE = 400_000
+#: Bytes of the cache, about; longer stretches than ``CACHE_LONGEST`` characters are not kept.
+CACHE_BYTES, CACHE_LONGEST = 48 << 20, 256
+#: Sequences from this many bytes on are merged with lists of places.
+LONG = 512
 #: Symbols merged in one go.
 BATCH_SYMBOLS = 1 << 20
 #: The byte-level pattern of the published vocabulary.
@@ -63,8 +69,19 @@ class Merges:
 
     def counts(self, tokens: list[bytes]) -> np.ndarray:
         """Surviving symbols of each pre-token."""
-        out = np.zeros(len(tokens), np.int64)
         size = np.array([len(t) for t in tokens], np.int64)
+        long = np.flatnonzero(size >= LONG)
+        if len(long):
+            out = np.zeros(len(tokens), np.int64)
+            at = 0
+            while at < len(long):
+                stop = max(at + 1, int(np.searchsorted(np.cumsum(size[long[at:]]), BATCH_SYMBOLS)) + at)
+                out[long[at:stop]] = self._merge_long([tokens[k] for k in long[at:stop]])
+                at = stop
+            short = np.flatnonzero(size < LONG)
+            out[short] = self.counts([tokens[k] for k in short])
+            return out
+        out = np.zeros(len(tokens), np.int64)
         at = 0
         while at < len(tokens):
             stop = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), BATCH_SYMBOLS)) + at)
@@ -100,6 +117,62 @@ class Merges:
         out[seq] = 1 if len(symbol) == 1 else out[seq]
         return out
 
+    def _merge_long(self, tokens: list[bytes]) -> np.ndarray:
+        """The same for long sequences, all at once: a pair's places are merged when its rank is the lowest left.
+
+        A merged symbol occurs only in pairs of higher ranks than its own, and sequences don't touch, so
+        going up the ranks of all sequences merges in each what is lowest there.
+        """
+        size = np.array([len(t) for t in tokens], np.int64)
+        symbol = self.byte[np.frombuffer(b"".join(tokens), np.uint8)]
+        n = len(symbol)
+        seq = np.repeat(np.arange(len(tokens)), size)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        last = np.cumsum(size) - 1
+        after[last] = n
+        before[np.r_[0, last[:-1] + 1]] = -1
+        alive = np.ones(n + 1, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def file(pos: np.ndarray) -> None:
+            """Note the pairs that begin at ``pos``."""
+            pos = pos[after[pos] < n]
+            rank = self.ranks(symbol[pos], symbol[after[pos]])
+            some = rank != _NONE
+            pos, rank = pos[some], rank[some]
+            order = np.argsort(rank, kind="stable")
+            pos, rank = pos[order], rank[order]
+            first = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else []
+            for a, b in zip(first, [*first[1:], len(rank)]):
+                r = int(rank[a])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(pos[a:b])
+
+        file(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            pos = np.unique(np.concatenate(places.pop(r)))
+            pos = pos[alive[pos] & (after[pos] < n)]
+            pos = pos[self.ranks(symbol[pos], symbol[after[pos]]) == r]  # what other merges left of them
+            if not len(pos):
+                continue
+            follow = np.r_[False, after[pos[:-1]] == pos[1:]]
+            if follow.any():  # of overlapping places every second one from the run's start
+                at = np.arange(len(pos))
+                pos = pos[(at - np.maximum.accumulate(np.where(follow, 0, at))) % 2 == 0]
+            gone = after[pos]
+            symbol[pos] = self.merged[r]
+            alive[gone] = False
+            after[pos] = after[gone]
+            inner = after[pos] < n
+            before[after[pos[inner]]] = pos[inner]
+            left = before[pos]
+            file(np.unique(np.r_[pos, left[left >= 0]]))
+        return np.bincount(seq[alive[:n]], minlength=len(tokens))
+
 
 class TokenCounter:
     def __init__(self, json_text: str):
@@ -109,6 +182,7 @@ class TokenCounter:
         self.split_special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.find = regex.compile(PATTERN).findall
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def learn(self, stretches: list[str]) -> None:
         """Count the tokens of stretches: their pre-tokens, once each, in one batch of arrays."""
@@ -119,8 +193,8 @@ class TokenCounter:
             self.known[s] = count[ps[0]] if len(ps) == 1 else sum([count[p] for p in ps])
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.known) > CACHE:
-            self.known = {}
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
         base = [0] * len(texts)
         pieces: list[list[str]] = []
         for k, t in enumerate(texts):
@@ -136,7 +210,13 @@ class TokenCounter:
         new = [s for s in new if s not in known]
         for k in range(0, len(new), 50_000):
             self.learn(new[k : k + 50_000])
-        return [b + sum([known[x] for x in own]) for b, own in zip(base, pieces)]
+        out = [b + sum([known[x] for x in own]) for b, own in zip(base, pieces)]
+        for x in new:
+            if len(x) > CACHE_LONGEST:
+                del known[x]
+            else:
+                self.held += 100 + 2 * len(x)
+        return out
 
 
 _kept: dict[int, TokenCounter] = {}
