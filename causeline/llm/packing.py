@@ -10,8 +10,8 @@ interchangeable; each gets a rank among its length from per-partition counts, an
 offsets by arithmetic on the plan. No text and no list of documents ever comes to the driver, and no task
 holds more than its own pieces.
 
-Defined results: a null or empty text is the end token alone; equal lengths are dealt by partition order;
-an empty table gives no rows; a row without doc_id is
+Defined results: a null or empty text is the end token alone; equal lengths are dealt by partition order; a very long text, or one very long
+word, is tokenised whole; repeated rows are packed each; an empty table gives no rows; a row without doc_id is
 packed under a null one; other columns are ignored.
 """
 
@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from ._spark import SLICE_BYTES, cut, slices, small_batches, text_column
 
 SIZE, END_ID = 4096, 1
-#: Words in the newer of two caches at most; as many may be in the older one.
-CACHE_WORDS = 200_000
+#: Words and bytes in the newer of two caches, about; as many may be in the older one. Longer words than ``CACHE_LONGEST`` characters are not kept.
+CACHE_WORDS, CACHE_BYTES, CACHE_LONGEST = 200_000, 32 << 20, 256
 _PLAIN = re.compile(r"[!-~\u00a1-\u00ff]+").fullmatch
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -69,20 +69,23 @@ class WordTokenizer:
         self.pre: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
         self.old_pre: dict[str, bytes] = {}
+        self.word_bytes = self.pre_bytes = 0
 
     def turn(self) -> None:
         """Full caches become the old ones, from which words that come again are taken back."""
-        if len(self.words) > CACHE_WORDS:
-            self.old_words, self.words = self.words, {"": b""}
-        if len(self.pre) > CACHE_WORDS:
-            self.old_pre, self.pre = self.pre, {}
+        if len(self.words) > CACHE_WORDS or self.word_bytes > CACHE_BYTES:
+            self.old_words, self.words, self.word_bytes = self.words, {"": b""}, 0
+        if len(self.pre) > CACHE_WORDS or self.pre_bytes > CACHE_BYTES:
+            self.old_pre, self.pre, self.pre_bytes = self.pre, {}, 0
 
     def pre_token(self, p: str) -> bytes:
         ids = self.old_pre.get(p)
         if ids is None:
             own = p if p.isascii() else "".join([self.byte_char[b] for b in p.encode()])
             ids = struct.pack(f"<{len(k := [t.id for t in self.model.tokenize(own)])}I", *k)
-        self.pre[p] = ids
+        if len(p) <= CACHE_LONGEST:
+            self.pre[p] = ids
+            self.pre_bytes += 100 + 5 * len(p)
         return ids
 
     def learn(self, new: set[str]) -> None:
@@ -112,6 +115,11 @@ class WordTokenizer:
         if new:
             self.learn(new)
             found = list(map(self.words.get, own))
+            for w in new:
+                if len(w) > CACHE_LONGEST:
+                    del self.words[w]
+                else:
+                    self.word_bytes += 100 + 5 * len(w)
         pool = np.frombuffer(b"".join(found), np.uint32)
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(size) - size

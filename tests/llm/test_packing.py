@@ -48,3 +48,15 @@ def test_against_the_library(spark, odd_docs, no_docs):
         g = g.sort_values("offset")
         assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 64
     assert packing.pack_documents(no_docs, PATH).count() == 0
+
+
+def test_long_words_are_not_kept():
+    tok = packing.WordTokenizer(open(PATH).read())
+    lib = Tokenizer.from_file(PATH)
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices("abcdefgh", k=n)) + " end" for n in (200, 300, 20_000)]
+    import pyarrow as pa
+
+    for _ in range(2):
+        assert [x.tolist() for x in tok.encode(pa.array(texts))] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert max(map(len, tok.words)) <= 256 and max(map(len, tok.pre)) <= 256
