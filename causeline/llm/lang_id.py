@@ -3,14 +3,16 @@
 A language is a distribution of hashed byte trigrams around letters (A-Z folded), learned from labelled texts. In a
 document every word has a likelihood under each language, the product of its trigrams'. Expectation-maximisation
 estimates the document's language proportions from the words' likelihoods; the set of languages is the one
-with the best likelihood less a penalty for every language in it, over the nested sets of the largest proportions.
+with the best likelihood less a penalty for every language in it, over the nested sets of the largest proportions. No set is likelier than
+the free mixture of all languages, so larger sets are tried only while that could pay for them.
 
 The models are fitted on a sample of about ``sample`` labelled documents a language, chosen by a hash of the
-document id; everything else reads all rows and whole texts.
+document id; everything else reads all rows and whole texts. They are sent to every task: a table of ``FEATURES`` numbers a language, at
+most ``MAX_LANGS`` languages (128 MB); more distinct values of lang are an error, none is left out.
 
 Defined results: a null text or one without any letter is ``und`` with score 0; equal texts have equal results; rows with
-null lang or doc_id teach nothing; without any labelled row every text is ``und``; an empty table gives no rows. Ties go to
-the language that sorts first.
+null lang or doc_id teach nothing, repeated rows teach each; without any labelled row every text is ``und``; an empty table gives no rows. Ties go to
+the language that sorts first. A very long text is one mixture over all its words. ``identify`` replaces columns of its own names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ SAMPLE = 3000
 ROUNDS = 12
 #: Log-likelihood that one more language has to bring: this times the log of the document's words, and at least PENALTY_LEAST.
 PENALTY, PENALTY_LEAST = 3.0, 12.0
-MAX_SET = 4
+MAX_LANGS = 512
 UND = "und"
 
 _rng = np.random.default_rng(7)
@@ -141,7 +143,9 @@ def predict(models: Models, col: pa.Array) -> tuple[list[str], np.ndarray, list[
         own = words[seg[k] : seg[k] + n_words[k]]
         order = np.argsort(-share[k], kind="stable")
         top, value = chosen[k], alone[k].max() - cost[k]
-        for size in range(2, min(MAX_SET, len(models.langs)) + 1):
+        for size in range(2, len(models.langs) + 1):
+            if full[k] - size * cost[k] <= value:
+                break
             at = order[:size]
             p, ll = mixture(own[:, at], np.zeros(1, np.int64), 30)
             if ll[0] - size * cost[k] > value:
@@ -179,8 +183,10 @@ def bucket(doc_id: Column, mod: int) -> Column:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Models:
     """Models from rows (doc_id, text, lang), lang not null."""
-    sizes = {r["lang"]: r["count"] for r in small_batches(labelled).groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in small_batches(labelled).groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
     langs = sorted(sizes)
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"{len(langs)} distinct values of lang; models are made for {MAX_LANGS} at most")
     if not langs:
         return Models([], np.zeros((FEATURES, 0)))
     rate = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / v)))])

@@ -10,11 +10,12 @@ A match counts by its context window: inside quotation marks, with an opening on
 texts use themselves are no misspellings. A logistic model over exact and misspelled counts gives the score.
 
 Lexicon and weights are fitted on a sample of about ``sample`` labelled documents, chosen by a hash of the document id; scoring reads
-all rows and whole texts.
+all rows and whole texts. A term needs three toxic texts of the sample, which bounds the lexicon; its terms are cut into blocks with an automaton
+of bounded size each, and a word's match is the best of all blocks. Nothing depends on the order or partitioning of rows.
 
 Defined results: null and empty texts get the model's score for no match; equal texts have equal scores; without
 labelled rows of both kinds every score is 0; an empty table gives no rows; rows without doc_id are scored and
-teach nothing; other columns are ignored.
+teach nothing; a doc_id that is labelled twice is toxic if either says so, and all its rows teach; a very long text is scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from .near_dup import shingles
 
 #: Labelled documents that lexicon and weights are fitted on, about.
 SAMPLE = 20_000
-#: Terms of the lexicon at most: it is a fitted model, ordered by evidence.
-MAX_TERMS = 2000
+#: Terms in one automaton: at most about 100 states a term.
+BLOCK_TERMS = 256
 RATIO = 8.0
 WINDOW = 12
 QUOTED = 0.2
@@ -242,9 +243,25 @@ class LexiconAutomaton:
         return out
 
 
+class Lexicon:
+    """Any number of terms, in blocks of one automaton each."""
+
+    def __init__(self, terms: list[Term]):
+        terms = sorted(terms, key=lambda t: (t.text, t.open))
+        self.blocks = [LexiconAutomaton(terms[k : k + BLOCK_TERMS]) for k in range(0, len(terms), BLOCK_TERMS)]
+
+    def match(self, text: Text) -> np.ndarray:
+        """For each word 0, 1 (exact) or 2 (misspelled): exact where any block has it exactly."""
+        out = np.zeros(len(text.start), np.int8)
+        for block in self.blocks:
+            own = block.match(text)
+            out = np.where((own == 0) | (out == 1), out, own)
+        return out
+
+
 @dataclass
 class Model:
-    automaton: LexiconAutomaton
+    automaton: Lexicon
     harmless: frozenset[str]
     weight: np.ndarray
     known: bool = True
@@ -283,7 +300,7 @@ def bucket(doc_id: Column, mod: int) -> Column:
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of about ``sample`` labelled rows whose crc32(doc_id as text) mod 5 is not 0.
+    """(doc_id, text, toxic) of about ``sample`` labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
     The ids of the sample are few, so they, not the texts, are sent around.
     """
@@ -292,11 +309,11 @@ def train_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     n = own.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     chosen = own.filter(draw < (sample / n if n > sample else 1.0)).withColumnRenamed("doc_id", "label_id")
-    return small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    return small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
 
 def unlike(rows: DataFrame, keys: int = 4) -> DataFrame:
-    """One row of each group of near copies: rows that share one of a few minima over their shingles' hashes.
+    """One row of each group of near copies, that of the smallest doc_id: rows that share one of a few minima over their shingles' hashes.
 
     A text that was copied often would else lend its rare words the weight of many texts.
     """
@@ -309,11 +326,12 @@ def unlike(rows: DataFrame, keys: int = 4) -> DataFrame:
                 first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
                 for k in range(keys if len(doc) else 0):
                     low[k, doc[first]] = np.minimum.reduceat(mix(key + np.uint64(k * 0x1851F42D4C957F2D)), first).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in low)], names=["text", "toxic", *(f"k{k}" for k in range(keys))])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in low)], names=names)
 
-    out = rows.mapInArrow(run, "text string, toxic int, " + ", ".join(f"k{k} long" for k in range(keys)))
+    names = ["doc_id", "text", "toxic", *(f"k{k}" for k in range(keys))]
+    out = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(run, "doc_id long, text string, toxic int, " + ", ".join(f"k{k} long" for k in range(keys)))
     for k in range(keys):
-        out = out.dropDuplicates([f"k{k}", "toxic"])
+        out = out.groupBy(f"k{k}", "toxic").agg(F.min(F.struct("doc_id", "text", *(f"k{j}" for j in range(keys) if j != k))).alias("s")).select(f"k{k}", "toxic", "s.*")
     return out.select("text", "toxic")
 
 
@@ -346,15 +364,17 @@ def learn_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> list[Term]:
     whole, stem = counts.filter(~F.col("word").endswith("*")), counts.filter(F.col("word").endswith("*"))
     bound = float(np.log(max(whole.count(), 2)))
     strong = (F.col("toxic") >= 3) & (ratio >= RATIO) & (evidence >= bound)
-    single = whole.filter(strong & (F.length("word") >= 3)).orderBy(F.desc("toxic"), "word").limit(MAX_TERMS).collect()
+    single = whole.filter(strong & (F.length("word") >= 3)).collect()
     kinds = whole.filter((F.length("word") >= STEM[0]) & (F.col("toxic") > 0)).select("word", "toxic", F.explode(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("word")))).alias("n"))
     kinds = kinds.groupBy(F.expr("concat(substring(word, 1, n), '*')").alias("word")).agg(F.count(F.lit(1)).alias("kinds"), F.max("toxic").alias("most"))
-    stems = stem.filter(strong).join(kinds, "word").filter("kinds >= 4 and 2 * most <= toxic").orderBy(F.desc("toxic"), "word").limit(MAX_TERMS)
+    stems = stem.filter(strong).join(kinds, "word").filter("kinds >= 4 and 2 * most <= toxic")
     stems = stems.withColumn("word", F.expr("substring(word, 1, length(word) - 1)")).collect()
     size = {r["word"]: r["toxic"] for r in stems}
-    longest = [w for w, n in size.items() if not any(v != w and v.startswith(w) and size[v] >= 0.95 * n for v in size)]
-    opened = [w for w in sorted(longest, key=len) if not any(v != w and w.startswith(v) for v in longest)]
-    closed = [r["word"] for r in single if not any(r["word"].startswith(o) for o in opened)]
+    starts = lambda w: [w[:n] for n in range(STEM[0], min(len(w), STEM[1]) + 1)]
+    shorter = {v for w, n in size.items() for v in starts(w)[:-1] if n >= 0.95 * size.get(v, n + n)}  # a longer stem says as much
+    longest = size.keys() - shorter
+    opened = {w for w in longest if not any(v in longest for v in starts(w)[:-1])}
+    closed = [r["word"] for r in single if not any(v in opened for v in starts(r["word"]))]
     return [Term(w, True) for w in sorted(opened)] + [Term(w) for w in sorted(closed)]
 
 
@@ -362,11 +382,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     rows = cut(unlike(train_rows(docs, labels, sample)))
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    empty = Model(LexiconAutomaton([]), frozenset(), np.zeros(5), False)
+    empty = Model(Lexicon([]), frozenset(), np.zeros(5), False)
     if not n.get(0) or not n.get(1):
         return empty
     counts = word_counts(rows).persist()
-    automaton = LexiconAutomaton(learn_terms(counts, n[1], n[0]))
+    automaton = Lexicon(learn_terms(counts, n[1], n[0]))
     shared = spark.sparkContext.broadcast(automaton)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +411,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 x = held.value.features(text_column(part).to_pylist(), part.column(1).to_numpy() == 0)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(1, 5)] + [part.column(1)], names=["a", "b", "c", "d", "toxic"])
 
-    seen = rows.mapInArrow(shape, "a double, b double, c double, d double, toxic int").groupBy("a", "b", "c", "d", "toxic").count().collect()
+    seen = rows.mapInArrow(shape, "a double, b double, c double, d double, toxic int").groupBy("a", "b", "c", "d", "toxic").count().orderBy("a", "b", "c", "d", "toxic").collect()
     x = np.array([[1, r["a"], r["b"], r["c"], r["d"]] for r in seen], float)
     model.weight = logistic(x, np.array([r["toxic"] for r in seen], float), np.array([r["count"] for r in seen], float))
     return model

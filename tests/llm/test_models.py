@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from causeline.llm import brown_lm, lang_id, toxicity
 
@@ -52,6 +53,20 @@ def test_em_is_maximum_likelihood():
     assert abs(ll[0] - max(grid)) < 0.01
 
 
+def test_sets_of_any_size(spark, monkeypatch):
+    """A text in six languages has six; too many languages are an error."""
+    rnd = random.Random(5)
+    vocabulary = [["".join(rnd.choice(letters) for _ in range(6)) for _ in range(8)] for letters in ("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx")]
+    say = lambda ws, n: " ".join(rnd.choice(ws) for _ in range(n))
+    counts = np.stack([np.bincount(lang_id.trigrams(pa.array([say(ws, 800)]))[0], minlength=lang_id.FEATURES) for ws in vocabulary], 1)
+    m = lang_id.Models(list("abcdef"), counts)
+    _, _, sets = lang_id.predict(m, pa.array([" ".join(say(ws, 60) for ws in vocabulary), " ".join(say(ws, 60) for ws in vocabulary[:3])]))
+    assert [set(x) for x in sets] == [set("abcdef"), set("abc")] and all(abs(v - 1 / 6) < 0.03 for v in sets[0].values())
+    monkeypatch.setattr(lang_id, "MAX_LANGS", 2)
+    with pytest.raises(ValueError):
+        lang_id.fit(spark.createDataFrame([(k, "text", f"l{k}") for k in range(3)], "doc_id long, text string, lang string"))
+
+
 def test_language_odd_rows(odd_docs, no_docs):
     out = lang_id.report(odd_docs).collect()
     by = {r.doc_id: r for r in out}
@@ -239,7 +254,7 @@ def distance(a, b):
     return d[-1]
 
 
-def test_automaton_against_distances():
+def test_automaton_against_distances(monkeypatch):
     terms = [toxicity.Term(w) for w in ("idiot", "scum", "worthless", "disgusting")] + [toxicity.Term("lowei", True), toxicity.Term("lostra", True)]
     auto = toxicity.LexiconAutomaton(terms)
     rnd = random.Random(3)
@@ -263,11 +278,72 @@ def test_automaton_against_distances():
                 best = min(best, d)
         return 0 if best == 9 else 1 if best == 0 else 2
 
-    assert auto.match(toxicity.read(words)).tolist() == [truth(w) for w in words]
+    want = [truth(w) for w in words]
+    assert auto.match(toxicity.read(words)).tolist() == want
+    monkeypatch.setattr(toxicity, "BLOCK_TERMS", 2)
+    assert toxicity.Lexicon(terms).match(toxicity.read(words)).tolist() == want
+
+
+def toxic_table(spark, n=600):
+    rnd = random.Random(12)
+    plain = ["river", "stone", "window", "paper", "garden", "silver", "table", "cloud", "idiom", "slow"]
+    bad = ["idiot", "worthless", "scumbag"]
+    rows, labels = [], []
+    for d in range(n):
+        ws = [rnd.choice(plain) + rnd.choice(["", str(rnd.randint(0, 50))]) for _ in range(rnd.randint(8, 30))]
+        toxic = rnd.random() < 0.3
+        if toxic:
+            ws[rnd.randint(0, len(ws) - 1)] = rnd.choice([*bad, "idoit", "wortless"])
+        elif rnd.random() < 0.03:
+            ws[2:3] = ['"you', rnd.choice(bad) + '"', "they", "said"]
+        rows.append((d, " ".join(ws)))
+        labels.append((d, 1, int(toxic)))
+    rows += [(3, "the window of an idiot"), (5, rows[5][1]), (n, ""), (n + 1, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs, labels = toxic_table(spark)
+    score = lambda n: sorted((r.doc_id, r.score) for r in toxicity.report(docs.repartition(n), labels.repartition(n)).collect())
+    one = score(1)
+    assert one == score(7) and len({s for _, s in one}) > 1
+
+
+def test_toxicity_score_against_brute_force(spark):
+    """Matches by plain edit distance, quotation by plain scanning of the line, and the logistic model's weights."""
+    docs, labels = toxic_table(spark)
+    m = toxicity.fit(docs, labels)
+    terms = [t for b in m.automaton.blocks for t in b.terms]
+    assert {t.text for t in terms} >= {"idiot", "scumbag"} and m.weight[1:].min() >= 0
+
+    def kind(w):
+        best = 9
+        for t in terms:
+            d = min(distance(w[:k], t.text) for k in range(len(w) + 1)) if t.open else distance(w, t.text)
+            if d <= t.edits:
+                best = min(best, d)
+        return 0 if best == 9 else 1 if best == 0 else 2
+
+    got = {(r.doc_id, r.score) for r in toxicity.score(docs, m).collect()}
+    for r in docs.collect():
+        exact = fuzzy = 0.0
+        text = r.text or ""
+        for w in re.finditer(r"\w+", text):
+            k = kind(w.group().lower())
+            if not k or (k == 2 and w.group().lower() in m.harmless):
+                continue
+            before, after = text[: w.start()], text[w.end() :]
+            inside = before.count('"') % 2 == 1 and '"' in after
+            near = inside and len(re.findall(r"\w+", before[before.rindex('"') :])) <= 12 and len(re.findall(r"\w+", after[: after.index('"')])) <= 12
+            value = toxicity.QUOTED if near else 1.0
+            exact, fuzzy = exact + value * (k == 1), fuzzy + value * (k == 2)
+        x = [1, math.log1p(exact), min(exact, 1), math.log1p(fuzzy), min(fuzzy, 1)]
+        want = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, m.weight))))
+        assert any(d == r.doc_id and abs(s - want) < 1e-9 for d, s in got), (r, want)
 
 
 def test_quotation_counts_less():
-    m = toxicity.Model(toxicity.LexiconAutomaton([toxicity.Term("idiot")]), frozenset(), np.array([-2.0, 2.0, 2.0, 1.0, 1.0]))
+    m = toxicity.Model(toxicity.Lexicon([toxicity.Term("idiot")]), frozenset(), np.array([-2.0, 2.0, 2.0, 1.0, 1.0]))
     quoted, abuse, typo, none = m.scores(['they wrote "you idiot" in the letter', "you idiot", "you idoit idiott", ""])
     assert none < quoted < abuse and none < typo
     assert m.features(['he said "it\nyou idiot" there'])[0][2] == 1.0  # a quotation ends with its line
