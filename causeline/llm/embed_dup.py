@@ -8,12 +8,13 @@ the default is ``radius * min(1, 4 / sqrt(dim))``, four times what a random disp
 boundary. Distances to codes come from per-query tables; a candidate is dropped only if its distance less the code's error
 is above the radius, and the rest are compared exactly. Recall is measured against brute force in the tests.
 
-Equal vectors of a label are one vector with a multiplicity. Lists are dealt into blocks of bounded size, so that a hot
+Equal vectors of a label are one vector with a multiplicity, named by a row's number, so that a vec_id may repeat. Lists are dealt into blocks of bounded size, so that a hot
 label, list or group of copies is spread over tasks; a task returns counts and a spanning forest, never the pairs.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with
-nothing; vectors of different lengths are never linked; rows without a vec_id are left out; a vec_id that comes
-again with the same vector and label counts once; extra columns are ignored.
+Defined results: every row has a result. Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label or
+a vec_id, link with nothing (without a vec_id component_id and kept are null); vectors of different lengths are never linked; labels are
+compared as text; a vec_id that comes again with the same vector and label counts once, and all its rows have that result; with another vector it is another
+vector of that id; ties go to the smallest vec_id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,36 +113,36 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def packed(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, dim, key, blob): blob null for vectors that link with nothing; key: digest of label and vector."""
+    """(vec_id, label, dim, key, blob) of each row: key and blob null for vectors that link with nothing; key: digest of label and vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs, keys, dims = [], [], []
-            for v, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for vec, v, label in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 x = np.array([np.nan if c is None else c for c in v], np.float64) if v is not None else np.zeros(0)
-                ok = label is not None and len(x) > 0 and np.isfinite(x).all() and x.any()
+                ok = vec is not None and label is not None and len(x) > 0 and np.isfinite(x).all() and x.any()
                 blob = (x + 0.0).tobytes() if ok else None
                 blobs.append(blob)
                 dims.append(len(x))
-                keys.append(hashlib.blake2b(b"%d:" % label + blob, digest_size=16).digest() if ok else None)
+                keys.append(hashlib.blake2b(label.encode() + b"\0" + blob, digest_size=16).digest() if ok else None)
             cols = [batch.column(0), batch.column(2), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "label", "dim", "key", "blob"])
 
-    source = small_batches(vectors).filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    return source.mapInArrow(run, "vec_id long, label long, dim int, key binary, blob binary")
+    source = small_batches(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    return source.mapInArrow(run, "vec_id long, label string, dim int, key binary, blob binary")
 
 
 def build(reps: DataFrame, dim: int, n: int, labels: int, least: float, sample: int, margin: float | None) -> Index:
-    """Fit on about ``sample`` vectors chosen by a hash of their id; lists grow with the root of a label's vectors."""
+    """Fit on about ``sample`` vectors chosen by a hash of themselves; lists grow with the root of a label's vectors."""
     rate = min(1.0, sample / max(n, 1))
-    draw = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    rows = reps.filter((F.col("dim") == dim) & (draw < rate)).select("rep", "blob").collect() or reps.filter(F.col("dim") == dim).select("rep", "blob").take(1)
-    x = _units(_vectors([bytes(r["blob"]) for r in sorted(rows, key=lambda r: r["rep"])]))
+    draw = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    rows = reps.filter((F.col("dim") == dim) & (draw < rate)).select("key", "blob").collect() or reps.filter(F.col("dim") == dim).orderBy("key").select("key", "blob").take(1)
+    x = _units(_vectors([bytes(r["blob"]) for r in sorted(rows, key=lambda r: r["key"])]))
     lists = int(np.clip(round(np.sqrt(n / max(labels, 1))), 8, MAX_LISTS))
     return Index(x, lists, least, margin)
 
 
-ROW = "label long, dim int, list int, query boolean, rep long, times long, home int, blob binary, code binary, err double"
+ROW = "label string, dim int, list int, query boolean, rep long, times long, home int, blob binary, code binary, err double"
 
 
 def indexed(reps: DataFrame, indexes: dict[int, Index]) -> DataFrame:
@@ -242,23 +243,27 @@ def _compare(index: Index, q: pa.Table, d: pa.Table, home: int, out: tuple[list,
 
 
 def link(vectors: DataFrame, least: float = LEAST, sample: int = SAMPLE, margin: float | None = None) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every vector."""
-    own = cut(packed(vectors).dropDuplicates(["vec_id", "label", "key"]))
-    reps = cut(own.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.any_value("label").alias("label"), F.any_value("dim").alias("dim"), F.any_value("blob").alias("blob")))
+    """vec_id, n_links, component_id, kept for every row."""
+    own = cut(packed(vectors))
+    once = own.filter("key is not null").dropDuplicates(["vec_id", "key"])
+    reps = once.groupBy("key").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("times"), F.any_value("label").alias("label"), F.any_value("dim").alias("dim"), F.any_value("blob").alias("blob"))
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))
     shape = reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).collect()
     if not shape:
-        return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
     indexes = {r["dim"]: build(reps, r["dim"], r["n"], r["labels"], least, sample, margin) for r in shape}
     rows = cut(indexed(reps, indexes))
     found = cut(search(rows, indexes))
     counts = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     edges = found.filter("b is not null").select("a", "b")
-    whole = reps.select("key", "rep", "times").join(counts, F.col("rep") == F.col("a"), "left").drop("a")
+    whole = reps.select("key", "rep", "low", "times").join(counts, F.col("rep") == F.col("a"), "left").drop("a")
     if has_rows(edges):
         whole = whole.join(components(edges), F.col("rep") == F.col("id"), "left").drop("id")
+        lows = whole.filter("component is not null").groupBy("component").agg(F.min("low").alias("first"))
+        whole = whole.join(lows, "component", "left").withColumn("component", F.coalesce("first", "low"))
     else:
-        whole = whole.withColumn("component", F.lit(None).cast("long"))
-    whole = whole.select("key", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+        whole = whole.withColumn("component", F.col("low"))
+    whole = whole.select("key", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component")
     out = own.select("vec_id", "key").join(whole, "key", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -140,9 +140,9 @@ FROM t LEFT JOIN a USING (doc_id)
 
 OP6 = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, list_contains(embedding, NULL) OR len(embedding) = 0 AS bad FROM embeddings WHERE vec_id IS NOT NULL),
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, list_contains(embedding, NULL) OR len(embedding) = 0 AS bad FROM embeddings),
 ok AS (
-  SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT DISTINCT vec_id, label, e FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(e, lambda x: x <> 0)) > 0),
 l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id

@@ -85,4 +85,11 @@ def test_odd_tables(spark):
     only = [(1, None, 0), (2, [0.0], 1)]
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dup.link(frame(spark, only)).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}
     twice = [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0)]
-    assert [tuple(r) for r in embed_dup.link(frame(spark, twice)).collect()] == [(1, 0, 1, True)]
+    assert sorted(map(str, (tuple(r) for r in embed_dup.link(frame(spark, twice)).collect()))) == sorted(map(str, [(1, 0, 1, True), (1, 0, 1, True), (None, 0, None, None)]))
+
+
+def test_repeated_ids_and_labels_of_text(spark):
+    rows = [(4, [1.0, 0.0], "a"), (4, [0.0, 1.0], "a"), (7, [0.0, 1.001], "a"), (3, [1.0, 0.001], "a"), (9, [1.0, 0.0], "b"), (8, [5.0, 0.0], "b")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    got = sorted(tuple(r) for r in embed_dup.link(df).collect())
+    assert got == [(3, 1, 3, True), (4, 1, 3, False), (4, 1, 4, True), (7, 1, 4, False), (8, 1, 8, True), (9, 1, 8, False)]
