@@ -10,7 +10,9 @@ blocks mean more scans, whose hits are united by row before anything is counted;
 checkpoint before the scans, so results don't depend on the number of blocks, nor on doc_ids that repeat or are null.
 
 Defined results: null and empty texts have no words, no hits and are clean; items without words are never
-found; items with equal texts are all found; equal item_ids count once. Extra columns are ignored by ``scan`` and kept by ``clean``.
+found; items with equal texts are all found; equal item_ids count once, and items without an id not at all. Rows are judged one by one, whether
+their doc_id repeats, ties or is null; a very long text is scanned whole; an empty table gives no rows, and without items
+every row is clean. Extra columns are ignored by ``scan`` and kept by ``clean``.
 """
 
 from __future__ import annotations
