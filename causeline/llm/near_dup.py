@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._spark import cut, has_rows, ids_repeat, slices, small_batches, text_column
+from ._spark import cut, has_rows, slices, small_batches, text_column
 from ._text import Words, mix, words
 
 WORDS, SIMILARITY = 5, 0.8
 #: At 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 25 = 5e-5.
 BANDS, ROWS = 25, 5
+SALTS = 64
 #: Buckets up to this size pair their members; larger ones are compared in blocks of so many rows or bytes of shingles, about.
 SMALL_BUCKET, BLOCK_ROWS, BLOCK_BYTES = 48, 1024, 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -175,9 +176,17 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Data
     return small_batches(full).mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, own, class_id, kept), one row for each of ``docs``: class_id is the smallest doc_id that links of similarity ``least`` reach, ``kept`` holds for one row of a class."""
-    plain = not ids_repeat(docs) and not has_rows(docs.select("doc_id").filter("doc_id is null"))
+def ids_are_plain(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    return not has_rows(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null"))
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, n: int = WORDS, bands: int = BANDS, rows: int = ROWS, plain: bool | None = None) -> DataFrame:
+    """(doc_id, own, class_id, kept), one row for each of ``docs``: class_id is the smallest doc_id that links of similarity ``least`` reach, ``kept`` holds for one row of a class.
+
+    ``plain``: that every row has a doc_id of its own, if that is known.
+    """
+    plain = ids_are_plain(docs) if plain is None else plain
     sketched = cut(sketch(docs, n, bands, rows).withColumn("row", F.monotonically_increasing_id()))
     nodes = sketched.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("low"))
     own = sketched.join(nodes.select(F.col("rep").alias("row")), "row")
@@ -192,12 +201,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY, n: int = WORDS, bands: i
     star = members.filter("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("shared"))
     best = star.groupBy("rep").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
     comp = _join_up(None, verify(best.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), sets, least))
-    comp = _join_up(comp, verify(_apart(star.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), comp), sets, least))
     open_ = _open(members, comp)
-    comp = _join_up(comp, verify(_pairs(open_), sets, least))
-    large = open_.filter(f"n > {SMALL_BUCKET}").select("band", "rep", "pivot")
+    pairs = _apart(star.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), comp).unionByName(_pairs(open_))
+    links = verify(pairs.distinct(), sets, least)
+    large = open_.filter(f"n > {SMALL_BUCKET}")
     if has_rows(large):
-        comp = _join_up(comp, _in_blocks(_open(large, comp), sets, least))
+        links = links.unionByName(_in_blocks(large, sets, least))
+    comp = _join_up(comp, links)
     if comp is None:
         found = nodes.select("digest", F.col("rep").alias("class"), F.col("low").alias("class_id"))
     else:
@@ -253,7 +263,7 @@ def _pairs(open_: DataFrame) -> DataFrame:
     left = small.filter("rep_comp <> main").select("band", F.col("rep").alias("a"), F.col("rep_comp").alias("a_comp"))
     right = small.select("band", F.col("rep").alias("b"), F.col("rep_comp").alias("b_comp"), "main")
     pairs = left.join(right, "band").filter("a_comp <> b_comp and (b_comp = main or a < b)")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def _in_blocks(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -269,7 +279,9 @@ def _in_blocks(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     both = here.select("*", F.explode(F.when(F.col("rep_comp") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("left"))
     sized = lambda left: F.greatest(F.lit(1), F.ceil(F.count_if(left) / BLOCK_ROWS), F.ceil(F.sum(F.when(left, F.length("keys"))) / BLOCK_BYTES)).cast("int")
     blocks = both.groupBy("band").agg(sized(F.col("left")).alias("nl"), sized(~F.col("left")).alias("nr"))
-    dealt = both.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("left"), F.col("nl")).otherwise(F.col("nr"))).cast("int"))
+    # a bucket's rows are in one task nowhere
+    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = both.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(SALTS)).cast("int")).join(salted, ["band", "salt"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("left"), F.col("nl")).otherwise(F.col("nr"))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("nr")).otherwise(F.col("nl")) - 1)))
     i, j = F.when(F.col("left"), F.col("own")).otherwise(F.col("other")), F.when(F.col("left"), F.col("other")).otherwise(F.col("own"))
     dealt = dealt.select("band", i.alias("i"), j.alias("j"), "left", "rep", "rep_comp", "keys", "weights")
@@ -326,8 +338,9 @@ def _forest(a: np.ndarray, b: np.ndarray, rep: np.ndarray, tag: np.ndarray, held
 
 def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that are their class's first, all columns."""
-    found = classes(docs, least)
-    if not ids_repeat(docs) and not has_rows(docs.select("doc_id").filter("doc_id is null")):
+    plain = ids_are_plain(docs)
+    found = classes(docs, least, plain=plain)
+    if plain:
         drop = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__copy"))
         return docs.join(drop.hint("shuffle_hash"), F.col("doc_id") == F.col("__copy"), "left_anti")
     # rows are told apart by id and text; of equal rows one stays
