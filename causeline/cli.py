@@ -120,8 +120,7 @@ def _store_command(a, spark: SparkSession, conf: Settings) -> DataFrame | None:
             s.replace("area", files.groups(spark, a.file).select(F.col("value").alias("host"), F.col("grp").alias("area")))
             return None
         case "anonym":
-            blank = store.anonymise(s.log).withColumn("day", F.to_date("dt"))
-            blank.write.mode("overwrite").partitionBy("day").parquet(f"{a.store}/log_anonym")
+            s.anonymise()
             return None
         case "show-log-repr":
             ends = search.head_and_foot(s.log, a.head, a.foot, "ltid")

@@ -132,18 +132,17 @@ def filter_events(log: DataFrame, top, end, size: int, action: str = "replace+li
     return left.select(*KEY, "type", "note", "n")
 
 
-def peel(seconds: list[int], dur: int, err: float, least: int = 3) -> tuple[list[list[int]], list[int]]:
-    """Sequences whose gaps are within ``dur`` plus or minus ``int(dur * err)``, taken off greedily, and the rest.
+class _Left:
+    """Sorted times of which some are taken off; the next one left at or after a place, the last one before it."""
 
-    A sequence goes on with the time whose gap is nearest to ``dur``, the earlier of equal ones.
-    """
-    slack = int(dur * err)
-    s, found = sorted(seconds), []
-    n = len(s)
-    # next and last time not yet taken off, at or after and at or before each place
-    up, down = list(range(n + 1)), list(range(n + 1))
+    def __init__(self, times: list[int]):
+        self.s = sorted(times)
+        n = len(self.s)
+        # places point to themselves while they are left; ``down`` is moved by one, 0 is before all
+        self.up, self.down = list(range(n + 1)), list(range(n + 1))
 
-    def follow(to: list[int], k: int) -> int:
+    @staticmethod
+    def _follow(to: list[int], k: int) -> int:
         end = k
         while to[end] != end:
             end = to[end]
@@ -151,42 +150,78 @@ def peel(seconds: list[int], dur: int, err: float, least: int = 3) -> tuple[list
             to[k], k = end, to[k]
         return end
 
+    def next(self, place: int) -> int:
+        return self._follow(self.up, place)
+
+    def last(self, place: int) -> int:
+        return self._follow(self.down, place) - 1
+
+    def take(self, places: list[int]) -> list[int]:
+        for k in places:
+            self.up[k], self.down[k + 1] = k + 1, k
+        return [self.s[k] for k in places]
+
+    def rest(self) -> list[int]:
+        return [t for k, t in enumerate(self.s) if self.up[k] == k]
+
+
+def peel(seconds: list[int], dur: int, err: float, least: int = 2, dup: bool = False) -> tuple[list[list[int]], list[int]]:
+    """Sequences whose gaps are within ``dur`` plus or minus ``int(dur * err)``, taken off greedily, and the rest.
+
+    A sequence goes on with the time whose gap is nearest to ``dur``, the earlier of equal ones. With ``dup`` it goes on with the
+    first such time, and takes along the times less than the allowed error after each of its own.
+    """
+    slack = int(dur * err)
+    left, found = _Left(seconds), []
+    s = left.s
+    n = len(s)
+
+    def nearest(at: int) -> int | None:
+        want = s[at] + dur
+        place = bisect_left(s, want, at + 1)
+        near = []
+        after = left.next(place)
+        if after < n:
+            near.append((s[after] - want, after))
+        before = left.last(place)
+        if before > at:
+            before = left.next(bisect_left(s, s[before], at + 1))
+            near.append((want - s[before], before))
+        return min(near)[1] if near and min(near)[0] <= slack else None
+
+    def first(at: int) -> int | None:
+        k = left.next(bisect_left(s, s[at] + dur - slack, at + 1))
+        return k if k < n and s[k] <= s[at] + dur + slack else None
+
+    def same(at: int, end: int) -> list[int]:
+        out, k = [], left.next(at + 1)
+        while k < end and s[k] < s[at] + slack:
+            out.append(k)
+            k = left.next(k + 1)
+        return out
+
     for start in range(n):
-        if up[start] != start:
+        if left.next(start) != start:
             continue
-        chain, at = [start], start
-        while True:
-            want = s[at] + dur
-            place = bisect_left(s, want, at + 1)
-            near = []
-            after = follow(up, place)
-            if after < n:
-                near.append((s[after] - want, after))
-            # places are moved by one in ``down``: 0 is before all
-            before = follow(down, place) - 1
-            if before > at:
-                before = follow(up, bisect_left(s, s[before], at + 1))
-                near.append((want - s[before], before))
-            if not near or min(near)[0] > slack:
-                break
-            at = min(near)[1]
-            chain.append(at)
-        if len(chain) >= least:
-            found.append([s[k] for k in chain])
-            for k in chain:
-                up[k], down[k + 1] = k + 1, k
-    rest = [s[k] for k in range(n) if up[k] == k]
-    return found, rest
-
-
-def separate_periodic(log: DataFrame, dur: int, err: float, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """(keys, seq, n): the periodic sequences of each event, seq -1 for the rest."""
+        chain, members, at = 0, [], start
+        while at is not None:
+            next_ = (first if dup else nearest)(at)
+            chain += 1
+            members += [at, *(same(at, n if next_ is None else next_) if dup else ())]
+            at = next_
+        if chain >= least:
+            found.append(left.take(members))
+    return found, left.rest()
+
+
+def separate_periodic(log: DataFrame, dur: int, err: float, keys: tuple[str, ...] = KEY, dup: bool = False) -> DataFrame:
+    """(keys, seq, n): the periodic sequences of each event, seq -1 for the rest (C9). ``dup``: sequences take nearly equal times along."""
     from ..functions.scalar import epoch
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.select(*keys).schema)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        found, rest = peel(g["s"].tolist(), dur, err)
+        found, rest = peel(g["s"].tolist(), dur, err, dup=dup)
         rows = [(k, len(f)) for k, f in enumerate(found)] + ([(-1, len(rest))] if rest else [])
         return pd.DataFrame({**{k: [g[k].iloc[0]] * len(rows) for k in keys}, "seq": [r[0] for r in rows], "n": [r[1] for r in rows]})
 

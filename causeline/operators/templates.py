@@ -104,11 +104,11 @@ class Shiso:
             node = node.children[int(np.argmax(far) if self.compat else np.argmin(far))]
 
 
-def shiso(log: DataFrame, threshold: float = 0.9, max_child: int = 4, mode: str = "by_length", compat: bool = False, shards: int = 64) -> DataFrame:
+def shiso(log: DataFrame, threshold: float = 0.9, max_child: int = 4, mode: str = "sharded", compat: bool = False, shards: int = 64) -> DataFrame:
     """(lid, n, local, tpl): each line's template, numbered within its length.
 
-    ``exact`` keeps one tree for all lengths in one ordered task, ``by_length`` one for each length. ``sharded`` mines ``shards`` parts of each
-    length side by side and then mines the parts' templates, so that no task holds a length's lines; trees see lines in another order there.
+    ``sharded`` mines ``shards`` parts of each length side by side and then mines the parts' templates, so that no task holds a length's lines; trees
+    see lines in another order there. ``by_length`` keeps one tree for each length in one ordered task each, ``exact`` one for all lengths.
     """
     if mode not in ("by_length", "exact", "sharded"):
         raise ValueError(f"unknown mode {mode!r}")

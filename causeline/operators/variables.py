@@ -34,20 +34,16 @@ def similarity(counts: DataFrame) -> DataFrame:
     pairs = a.join(b, "value").filter(before).groupBy(*keys).agg(
         F.sum((F.col("a_share") + F.col("b_share")) / 2 * F.col("idf")).alias("score"), F.count(F.lit(1)).alias("common"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size")
     )
-    # common counts values that add something; the union is over all values
-    shared = _common(counts, var)
-    pairs = pairs.drop("common").join(shared, keys).withColumn("sim", F.col("score") / (F.col("a_size") + F.col("b_size") - F.col("common")))
+    # the union is over all values; those of all events, which would pair everything, are met only in pairs that share another one
+    every = counts.join(idf.filter("idf <= 0").select("value"), "value").groupBy(*var).agg(F.collect_set("value").alias("all"))
+    for p in ("a_", "b_"):
+        pairs = pairs.join(every.select(*[F.col(c).alias(p + c) for c in var], F.col("all").alias(p + "all")), [p + c for c in var], "left")
+    more = F.coalesce(F.size(F.array_intersect("a_all", "b_all")), F.lit(0))
+    pairs = pairs.withColumn("common", F.col("common") + F.greatest(more, F.lit(0))).withColumn("sim", F.col("score") / (F.col("a_size") + F.col("b_size") - F.col("common")))
     best = Window.partitionBy("a_gid", "a_host", "b_gid", "b_host").orderBy(F.desc(F.round("sim", 9)), "a_ltid", "a_vid", "b_ltid", "b_vid")
     return pairs.withColumn("r", F.row_number().over(best)).filter("r = 1").select(*keys, "sim", "common")
 
 
-def _common(counts: DataFrame, var: list[str]) -> DataFrame:
-    a = counts.select("value", *[F.col(c).alias("a_" + c) for c in var])
-    b = counts.select("value", *[F.col(c).alias("b_" + c) for c in var])
-    keys = [p + c for p in ("a_", "b_") for c in var]
-    return a.join(b, "value").filter(F.struct("a_gid", "a_host") < F.struct("b_gid", "b_host")).groupBy(*keys).agg(F.count(F.lit(1)).alias("common"))
-
-
 def value_sets(counts: DataFrame, a: tuple[int, str], b: tuple[int, str], limit: int | None = 5) -> DataFrame:
     """Common values, and values of one event alone (T6, O5). Bounded by the two events' values."""
     sets = counts.filter(((F.col("gid") == a[0]) & (F.col("host") == a[1])) | ((F.col("gid") == b[0]) & (F.col("host") == b[1])))

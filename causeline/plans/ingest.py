@@ -23,7 +23,7 @@ class Ingest:
     drop_unknown: bool = False
     miner: str = "shiso"
     grouper: str = "shiso"
-    mode: str = "by_length"
+    mode: str = "sharded"
     threshold: float = 0.9
     max_child: int = 4
     templates: DataFrame | None = None  # (tid, tpl) for the import miner

@@ -321,17 +321,26 @@ def filter_compare(spark, d):
     return search.filter_effect(v.term_of(_log(spark, d)), after, "term")
 
 
-_TFIDF = f"""WITH blk AS ({_BLOCKS}), w AS (SELECT term, gid, host, n / sum(n) OVER (PARTITION BY term) * log2((SELECT count(DISTINCT term) FROM blk) / count(*) OVER (PARTITION BY gid, host)) AS w FROM blk)"""
+_SPANS = "SELECT term, gid, host, count(*) AS n FROM (SELECT *, (CAST(epoch(dt) AS BIGINT) - 1704067200) // 10800 AS term FROM log) GROUP BY term, gid, host"
+
+
+def _spans(spark, d):
+    """Events in blocks of three hours."""
+    rows = v.log(spark, d).withColumn("term", F.floor((fn.epoch(F.col("dt")) - 1704067200) / 10800))
+    return rows.groupBy("term", "gid", "host").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TFIDF = f"""WITH blk AS ({_SPANS}), w AS (SELECT term, gid, host, n / sum(n) OVER (PARTITION BY term) * log2((SELECT count(DISTINCT term) FROM blk) / count(*) OVER (PARTITION BY gid, host)) AS w FROM blk)"""
 
 
 @query(_TFIDF + " SELECT term, gid, host, round(w, 9) AS w FROM w", "log")
 def event_tfidf(spark, d):
-    return search.tfidf(_blocks(spark, d), "term").withColumn("w", F.round("w", 9))
+    return search.tfidf(_spans(spark, d), "term").withColumn("w", F.round("w", 9))
 
 
 @query(_TFIDF + " SELECT a, b, round(CASE WHEN na > 0 AND nb > 0 THEN dot / (na * nb) ELSE 0 END, 6) AS cosine FROM (SELECT x.term AS a, y.term AS b, sum(x.w * y.w) AS dot, sqrt(sum(y.w * y.w)) AS nb, any_value(n.na) AS na FROM w x JOIN w y ON x.gid = y.gid AND x.host = y.host JOIN (SELECT term, sqrt(sum(w * w)) AS na FROM w GROUP BY term) n ON n.term = x.term GROUP BY ALL)", "log")
 def event_tfidf_cosine(spark, d):
-    return search.cosine(search.tfidf(_blocks(spark, d), "term"), "term").withColumn("cosine", F.round("cosine", 6))
+    return search.cosine(search.tfidf(_spans(spark, d), "term"), "term").withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"WITH b AS ({_BLOCKS}) SELECT label, count(*) AS n_events, CAST(sum(n) AS BIGINT) AS n FROM (SELECT gid, host, count(*) AS n FROM (SELECT DISTINCT term, gid, host FROM (SELECT *, (CAST(epoch(dt) AS BIGINT) - 1704067200) // 518400 AS term FROM log WHERE dt >= TIMESTAMP '2024-01-01' AND dt < TIMESTAMP '2024-01-31') EXCEPT SELECT term, gid, host FROM b) GROUP BY gid, host) x LEFT JOIN labels l ON l.ltgid = x.gid GROUP BY label", "log", "labels")
@@ -635,7 +644,7 @@ def stable_vars(spark, d):
     return edit.stable_variables(v.log(spark, d), v.lt(spark), 8)
 
 
-_VSIM = f"""WITH c AS (SELECT gid, host, ltid, vid, value, count(*) AS n FROM ({_VAR}) WHERE dt < TIMESTAMP '2024-01-03' GROUP BY ALL),
+_VSIM = f"""WITH c AS (SELECT gid, host, ltid, vid, value, count(*) AS n FROM ({_VAR}) GROUP BY ALL),
   o AS (SELECT c.*, n / sum(n) OVER (PARTITION BY gid, host, ltid, vid) AS share, count(*) OVER (PARTITION BY gid, host, ltid, vid) AS size FROM c),
   i AS (SELECT value, log2((SELECT count(*) FROM (SELECT DISTINCT gid, host FROM c)) / count(DISTINCT (gid, host))) AS idf FROM c GROUP BY value),
   p AS (SELECT a.gid AS a_gid, a.host AS a_host, a.ltid AS a_ltid, a.vid AS a_vid, b.gid AS b_gid, b.host AS b_host, b.ltid AS b_ltid, b.vid AS b_vid, sum((a.share + b.share) / 2 * idf) AS score, count(*) AS common, any_value(a.size) AS sa, any_value(b.size) AS sb, count(*) FILTER (WHERE idf > 0) AS k
@@ -646,7 +655,7 @@ _VSIM = f"""WITH c AS (SELECT gid, host, ltid, vid, value, count(*) AS n FROM ({
 
 @query(_VSIM, "log", "lt")
 def var_similarity(spark, d):
-    counts = vr.variable_counts(v.log(spark, d, None, dt.datetime(2024, 1, 3)), v.lt(spark))
+    counts = vr.variable_counts(v.log(spark, d), v.lt(spark))
     return vr.similarity(counts).select("a_gid", "a_host", "b_gid", "b_host", F.round("sim", 6).alias("sim"))
 
 
@@ -670,10 +679,10 @@ def header_parse(spark, d):
     return _head_lines(spark, d).withColumn("h", h).select("lid", "h.dt", "h.host", "h.message")
 
 
-@query(r"""WITH t AS (SELECT doc_id, text[:200] || '\*@' AS s FROM documents) SELECT doc_id, replace(replace(replace(s, '\', '\\'), '*', '\*'), '@', '\@') AS escaped, true AS same FROM t""")
+@query(r"""WITH t AS (SELECT doc_id, text || '\*@' AS s FROM documents) SELECT doc_id, replace(replace(replace(s, '\', '\\'), '*', '\*'), '@', '\@') AS escaped, true AS same FROM t""")
 def escape_roundtrip(spark, d):
-    """Head of each text, with characters that need escapes put behind it."""
-    rows = v.table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit("\\*@")).alias("s"))
+    """Each text, with characters that need escapes put behind it."""
+    rows = v.table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\\*@")).alias("s"))
     return rows.select("doc_id", fn.add_esc(F.col("s")).alias("escaped"), (fn.restore_esc(fn.add_esc(F.col("s"))) == F.col("s")).alias("same"))
 
 
@@ -882,6 +891,11 @@ def separate_periodic(spark, d):
     return periodic.separate_periodic(_log(spark, d), HOUR, 0.1)
 
 
+@query()
+def separate_periodic_dup(spark, d):
+    return periodic.separate_periodic(_log(spark, d), HOUR, 0.1, dup=True)
+
+
 @query()
 def change_points(spark, d):
     scores = changepoint.change_points(ev.binned(_log(spark, d), TOP, END, HOUR), 720, rate=0.01)

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import floor_time, from_epoch, restore_message
-from ..plans.checkpoint import cut
 
 SCHEMAS = {
     "log": "lid long, ltid int, dt timestamp_ntz, host string, words array<string>",
@@ -45,6 +44,8 @@ class LogStore:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> LogStore:
+        for n in SCHEMAS:
+            _finish(spark, f"{path}/{n}")
         read = lambda n: spark.read.schema(SCHEMAS[n]).parquet(f"{path}/{n}")
         return cls(read("log"), read("lt"), read("ltg"), read("area"), path)
 
@@ -57,12 +58,19 @@ class LogStore:
         return cls(log, lt, t["ltg"], t["area"].select("host", "area"))
 
     def append(self, rows: DataFrame) -> None:
-        """Add log rows, a file set for each day (K2)."""
-        rows.select(*[c.split(" ")[0] for c in SCHEMAS["log"].split(", ")]).withColumn("day", F.to_date("dt")).repartition("day").sortWithinPartitions("ltid", "host").write.mode("append").partitionBy("day").parquet(f"{self.path}/log")
+        """Add log rows, files for each day, of which a large day gets several (K2)."""
+        rows.select(*[c.split(" ")[0] for c in SCHEMAS["log"].split(", ")]).withColumn("day", F.to_date("dt")).hint("rebalance", "day").sortWithinPartitions("ltid", "host").write.mode("append").partitionBy("day").parquet(f"{self.path}/log")
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Overwrite a dimension (K4, K5). The rows may come from the table itself."""
-        cut(rows).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        """Put rows in a table's place (K4, K5); they may come from the table itself. The old table goes when the new one is whole."""
+        rows = rows.withColumn("day", F.to_date("dt")) if name == "log" else rows
+        at = f"{self.path}/{name}"
+        (rows.write.partitionBy("day") if name == "log" else rows.write).mode("overwrite").parquet(f"{at}{_NEW}")
+        _finish(rows.sparkSession, at)
+
+    def anonymise(self) -> None:
+        """Take the words out of the stored log (K6)."""
+        self.replace("log", anonymise(self.log))
 
     # --- scans ---
 
@@ -104,6 +112,19 @@ class LogStore:
         return LogStore(self.log, lt, self.ltg, self.area, self.path)
 
 
+_NEW = "__new"
+
+
+def _finish(spark: SparkSession, at: str) -> None:
+    """If a new form of the table was written in full beside it, put it in its place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    new, old = path(at + _NEW), path(at)
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(new) and not fs.exists(path(f"{at}{_NEW}/_temporary")):
+        fs.delete(old, True)
+        fs.rename(new, old)
+
+
 def select(log: DataFrame, ltg: DataFrame | None = None, areas: DataFrame | None = None, lid=None, ltid=None, ltgid=None, top=None, end=None, host=None, area=None) -> DataFrame:
     out = log
     for name, value in (("lid", lid), ("ltid", ltid), ("host", host)):

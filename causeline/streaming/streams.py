@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalar import header
 from ..functions.tokenise import words_and_separators
+from ..plans.checkpoint import shared_folder
 
 
 def text_stream(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataFrame:
@@ -52,8 +52,7 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
 def run_once(rows: DataFrame) -> DataFrame:
     """All that a stream gives for what there is now, written to the shared folder and read back (append mode: closed windows only)."""
     spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="causeline-stream-")
-    at = f"{base}/stream-{uuid.uuid4()}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
     q = rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{at}/out")
@@ -64,26 +63,28 @@ CP_OUT = "gid int, host string, bin long, value double, score double"
 
 
 def change_points(bins: DataFrame, rate: float, order: int, smooth: int) -> DataFrame:
-    """Scores of closed bins (gid, host, bin, cnt) as they come, the two models of each event kept as state.
+    """Scores of closed bins from counts (gid, host, bin, cnt) as they come; the two models of each event and its open bin are kept as state.
 
-    Bins that never come are zeros between those that do; a bin older than the state has seen is late and dropped.
+    Counts of one bin add up, whichever batch they come in; a bin is closed and scored when a later one of the event comes, and what
+    comes for a closed bin is late and dropped. Bins that never come are zeros between those that do.
     """
     import pickle
 
     from ..operators.changepoint import ChangeFinder
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        finder, last = pickle.loads(state.get[0]) if state.exists else (ChangeFinder(rate, order, smooth), None)
+        finder, open_, count = pickle.loads(state.get[0]) if state.exists else (ChangeFinder(rate, order, smooth), None, 0.0)
         rows = pd.concat(list(batches)).groupby("bin")["cnt"].sum().sort_index()
         out = []
         for at, value in rows.items():
-            if last is not None and at <= last:
+            if open_ is not None and at < open_:
                 continue
-            for b in range(at if last is None else last + 1, at + 1):
-                x = float(value) if b == at else 0.0
-                out.append((key[0], key[1], b, x, finder.update(x)))
-            last = int(at)
-        state.update((pickle.dumps((finder, last)),))
+            if open_ is not None and at > open_:
+                for b, x in [(open_, count), *((b, 0.0) for b in range(open_ + 1, at))]:
+                    out.append((key[0], key[1], b, x, finder.update(x)))
+                count = 0.0
+            open_, count = int(at), count + float(value)
+        state.update((pickle.dumps((finder, open_, count)),))
         yield pd.DataFrame(out, columns=["gid", "host", "bin", "value", "score"])
 
     return bins.groupBy("gid", "host").applyInPandasWithState(run, CP_OUT, CP_STATE, "append", GroupStateTimeout.NoTimeout)

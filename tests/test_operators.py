@@ -92,7 +92,7 @@ def test_peeling():
 
 
 def test_peeling_against_all_pairs():
-    def brute(seconds, dur, err, least=3):
+    def brute(seconds, dur, err, least=2):
         slack, rest, found, start = int(dur * err), sorted(seconds), [], 0
         while start < len(rest):
             chain = [start]
@@ -110,15 +110,46 @@ def test_peeling_against_all_pairs():
         seconds = rng.integers(0, int(rng.integers(1, 400)), int(rng.integers(0, 60))).tolist()
         dur, err = int(rng.integers(0, 40)), float(rng.choice([0, 0.1, 0.5, 2]))
         assert periodic.peel(seconds, dur, err) == brute(seconds, dur, err)
+        assert periodic.peel(seconds, dur, err, 3) == brute(seconds, dur, err, 3)
     found, rest = periodic.peel(rng.integers(0, 30 * 86400, 100_000).tolist(), 3600, 0.1)
     assert sum(map(len, found)) + len(rest) == 100_000
 
 
+def test_peeling_with_equal_times_against_all_pairs():
+    def brute(seconds, dur, err):
+        slack, rest, found, start = int(dur * err), sorted(seconds), [], 0
+        while start < len(rest):
+            own, at, steps = [], start, 0
+            while True:
+                near = [k for k in range(at + 1, len(rest)) if abs(rest[k] - rest[at] - dur) <= slack]
+                own += [at, *(k for k in range(at + 1, near[0] if near else len(rest)) if rest[k] < rest[at] + slack)]
+                if not near:
+                    break
+                at, steps = near[0], steps + 1
+            if steps:
+                found.append([rest[k] for k in own])
+                rest = [t for k, t in enumerate(rest) if k not in own]
+            else:
+                start += 1
+        return found, rest
+
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        seconds = rng.integers(0, int(rng.integers(1, 400)), int(rng.integers(0, 60))).tolist()
+        dur, err = int(rng.integers(1, 40)), float(rng.choice([0, 0.1, 0.5]))
+        assert periodic.peel(seconds, dur, err, dup=True) == brute(seconds, dur, err)
+    found, rest = periodic.peel([0, 2, 100, 101, 200, 350], 100, 0.05, dup=True)
+    assert found == [[0, 2, 100, 101, 200]] and rest == [350]
+    found, rest = periodic.peel(rng.integers(0, 30 * 86400, 100_000).tolist(), 3600, 0.1, dup=True)
+    assert sum(map(len, found)) + len(rest) == 100_000
+
+
 def test_separate_periodic_takes_the_whole_log(spark):
     from causeline.plans import queries as q, views as v
 
     d = "/root/testdata/sf0.001"
-    assert q.QUERIES["separate_periodic"](spark, d).agg(F.sum("n")).first()[0] == v.log(spark, d, v.TOP, v.END).count()
+    for name in ("separate_periodic", "separate_periodic_dup"):
+        assert q.QUERIES[name](spark, d).agg(F.sum("n")).first()[0] == v.log(spark, d, v.TOP, v.END).count()
 
 
 def test_fisher_and_chi_square():

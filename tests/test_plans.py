@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +136,47 @@ def test_streamed_change_points_equal_the_batch(spark, tmp_path):
     got = {(r.host, r.bin): r.score for r in spark.table("cp").collect()}
     host = sorted(last)[0]
     own = cells.filter(F.col("host") == host).withColumn("bin", F.col("bin") - first[host])
-    want = {r.bin + first[host]: r.score for r in change_points(own, int(last[host] - first[host] + 2), 0.01, 1, 5).collect()}
+    want = {r.bin + first[host]: r.score for r in change_points(own, int(last[host] - first[host] + 1), 0.01, 1, 5).collect()}
     assert {b for h, b in got if h == host} == set(want)
     assert all(abs(got[host, b] - x) < 1e-9 for b, x in want.items())
+
+
+def test_streamed_change_points_in_two_batches(spark, tmp_path):
+    """A bin whose rows come in two batches has them all; the open bin isn't scored."""
+    from causeline.operators.changepoint import ChangeFinder
+
+    src = str(tmp_path / "bins")
+    schema = "gid int, host string, bin long, cnt long"
+    for rows in ([(0, "a", 1, 4), (0, "a", 0, 2), (0, "b", 3, 1)], [(0, "a", 1, 5), (0, "a", 4, 1), (0, "a", 0, 9)], [(0, "a", 5, 3), (0, "b", 4, 1)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are read in order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = sorted((r.host, r.bin, r.value, round(r.score, 9)) for r in streams.run_once(streams.change_points(stream, 0.01, 1, 5)).collect())
+    want = []
+    for host, values in (("a", {0: 2, 1: 9, 2: 0, 3: 0, 4: 1}), ("b", {3: 1})):
+        finder = ChangeFinder(0.01, 1, 5)
+        want += [(host, b, float(x), round(finder.update(float(x)), 9)) for b, x in values.items()]
+    assert got == sorted(want)
+
+
+def test_words_are_taken_out_of_the_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    s = store.LogStore.create(spark, path)
+    rows = spark.createDataFrame([(k, 0, f"2112-09-0{1 + k % 3} 10:00:0{k % 10}", "h", ["secretword", str(k)]) for k in range(20)], "lid long, ltid int, dt string, host string, words array<string>")
+    s.append(rows.withColumn("dt", F.col("dt").cast("timestamp_ntz")))
+    cli.main(["--store", path, "anonym"], spark)
+    left = store.LogStore.open(spark, path).log
+    assert left.count() == 20 and left.agg(F.max(F.size("words"))).first()[0] == 0
+    files_ = [os.path.join(at, f) for at, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+    assert files_ and not any(b"secretword" in open(f, "rb").read() for f in files_) and not spark.read.parquet(f"{path}/log").filter("size(words) > 0").count()
+
+
+def test_interrupted_replacement(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.LogStore.create(spark, path)
+    new = spark.createDataFrame([("h", "core")], "host string, area string")
+    new.write.parquet(f"{path}/area__new")  # written in full, not yet put in place
+    assert [tuple(r) for r in store.LogStore.open(spark, path).area.collect()] == [("h", "core")]
+    s = store.LogStore.open(spark, path)
+    s.replace("area", s.area.unionByName(new.selectExpr("host", "'edge' as area")))
+    assert store.LogStore.open(spark, path).area.count() == 2
