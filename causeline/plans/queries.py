@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import scalar as fn
 from ..functions.tokenise import words_and_separators
 from ..operators import causal, changepoint, edit, events as ev, graph, labels as lab, periodic, search, stats, templates as tp, variables as vr
-from ..sources import hosts, store
+from ..sources import files, generate, hosts, store
 from ..streaming import streams
-from . import views as v
+from . import dag, ingest, views as v
+from .checkpoint import shared_folder
 from .views import END, HOUR, TOP, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -939,6 +941,154 @@ def stream_change_points(spark, d):
     return out.withColumn("score", F.round("score", 6))
 
 
+# --- files, stores and ingest: what is written to the shared folder and read back ---
+
+
+def _folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _written_lines(spark: SparkSession, d: str) -> str:
+    at = _folder(spark, "lines")
+    files.write_log(v.log(spark, d).select("dt", "host", F.array_join("words", " ").alias("message")), at)
+    return at
+
+
+def _written_store(spark: SparkSession, d: str) -> store.LogStore:
+    s = store.LogStore.create(spark, _folder(spark, "store"))
+    s.append(v.log(spark, d))
+    s.replace("lt", v.lt(spark).withColumn("lts", F.lit(None).cast("array<string>")).withColumn("cnt", F.lit(0).cast("long")))
+    s.replace("ltg", v.ltg(spark))
+    s.replace("area", v.area(spark))
+    return store.LogStore.open(spark, s.path)
+
+
+@query("SELECT host, CAST(dt AS DATE) AS day, count(*) AS n, count(DISTINCT array_to_string(words, ' ')) AS kinds FROM log GROUP BY ALL", "log")
+def written_lines(spark, d):
+    """The log as text files, found recursively and read again."""
+    rows = files.lines(spark, _written_lines(spark, d), True).withColumn("h", fn.header(F.col("line"), 2024)).select("h.*")
+    return rows.groupBy("host", F.to_date("dt").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("message").alias("kinds"))
+
+
+@query("SELECT lid, ltid, dt, host, array_to_string(words, ' ') AS message FROM log WHERE ltid IN (SELECT ltid FROM ltg WHERE ltgid = 3) AND host IN (SELECT host FROM area WHERE area = 'area2') AND dt >= TIMESTAMP '2024-01-05'", "log", "ltg", "area")
+def stored_lines(spark, d):
+    rows = _written_store(spark, d).lines(ltgid=3, area="area2", top=A)
+    return rows.select("lid", "ltid", "dt", "host", F.array_join("words", " ").alias("message"))
+
+
+@query("SELECT ltid, array_to_string(ltw, ' ') AS template, coalesce(n, 0) AS cnt FROM lt LEFT JOIN (SELECT ltid AS id, count(*) AS n FROM log GROUP BY ltid) ON id = ltid", "log", "lt")
+def stored_template_counts(spark, d):
+    """Templates put in place of themselves with the counts of the stored log."""
+    s = _written_store(spark, d)
+    s.replace("lt", s.with_counts().lt)
+    return store.LogStore.open(spark, s.path).lt.select("ltid", F.array_join("ltw", " ").alias("template"), "cnt")
+
+
+@query("SELECT host, count(*) AS n, CAST(0 AS BIGINT) AS n_words FROM log GROUP BY host", "log")
+def stored_anonymous(spark, d):
+    s = _written_store(spark, d)
+    s.anonymise()
+    rows = store.LogStore.open(spark, s.path).log
+    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).cast("long").alias("n_words"))
+
+
+@query("SELECT 'site' || area[5:] AS area, host FROM area WHERE host <> 'host0'", "area")
+def stored_areas(spark, d):
+    """The areas made anew from the stored ones."""
+    s = _written_store(spark, d)
+    s.replace("area", s.area.filter("host <> 'host0'").select("host", F.concat(F.lit("site"), F.substring("area", 5, 9)).alias("area")))
+    return store.LogStore.open(spark, s.path).area.select("area", "host")
+
+
+@query("SELECT ltgid, list_aggregate(list_sort(list(CAST(ltid AS VARCHAR))), 'string_agg', ',') AS members FROM (SELECT ltid, ltid AS ltgid FROM lt) GROUP BY ltgid", "lt")
+def regroup_none(spark, d):
+    s = store.LogStore(v.log(spark, d), v.lt(spark), v.ltg(spark), v.area(spark))
+    groups = ingest.regrouped(s, "none")
+    return groups.groupBy("ltgid").agg(F.array_join(F.array_sort(F.collect_list(F.col("ltid").cast("string"))), ",").alias("members"))
+
+
+@query("SELECT array_to_string(ltw, ' ') AS template, count(*) AS cnt, min(dt) AS first_dt FROM log JOIN lt ON log.ltid = lt.ltid GROUP BY ALL", "log", "lt")
+def ingested(spark, d):
+    """Raw lines parsed, numbered, tokenised and matched to given templates; templates with their lines."""
+    given = v.lt(spark).select(F.col("ltid").alias("tid"), F.col("ltw").alias("tpl"))
+    tables, _ = ingest.Ingest(2024, miner="import", grouper="none", templates=given).tables(files.lines(spark, _written_lines(spark, d), True))
+    rows = tables["log"].join(tables["lt"].select("ltid", F.array_join("ltw", " ").alias("template")), "ltid")
+    return rows.groupBy("template").agg(F.count(F.lit(1)).alias("cnt"), F.min("dt").alias("first_dt"))
+
+
+@query("SELECT lid, row_number() OVER (ORDER BY dt, host, message, lid) - 1 AS nr FROM (SELECT *, array_to_string(words, ' ') AS message FROM log QUALIFY count(*) OVER (PARTITION BY dt, host, array_to_string(words, ' ')) = 1)", "log")
+def line_numbers(spark, d):
+    """Lines numbered by time, host and message; lines that are equal in all of them are left out, as their order is free."""
+    rows = v.log(spark, d).select(F.col("lid").alias("old"), "dt", "host", F.array_join("words", " ").alias("message"))
+    alone = rows.groupBy("dt", "host", "message").agg(F.min("old").alias("old"), F.count(F.lit(1)).alias("k")).filter("k = 1")
+    return ingest.numbered(alone.select("old", "dt", "host", "message")).select(F.col("old").alias("lid"), F.col("lid").alias("nr"))
+
+
+@query("SELECT host, count(*) AS n, count(DISTINCT array_to_string(words, ' ')) AS kinds FROM log GROUP BY host", "log")
+def streamed_lines(spark, d):
+    """Lines of text files as a stream, parsed and written as they come."""
+    rows = streams.run_once(streams.parsed(streams.text_stream(spark, _written_lines(spark, d)), 2024).select("dt", "host", "words"))
+    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.array_join("words", " ")).alias("kinds"))
+
+
+@query("SELECT lid, array_to_string(words, ' ') AS message FROM log WHERE NOT (array_to_string(words, ' ') LIKE '%retry 1%' OR array_to_string(words, ' ') LIKE 'purchase%')", "log")
+def removed_lines(spark, d):
+    """What a list of substrings leaves."""
+    rows = v.log(spark, d).select("lid", F.array_join("words", " ").alias("message"))
+    return rows.filter(~fn.removed(F.col("message"), ["retry 1", "purchase user"]))
+
+
+_ALIASES = [("host1", "core1", "core", None, None), ("host2", "core2", "core", None, None), ("core2", "core2", "core", None, None), ("host7", "edge", "edge", None, None)]
+
+
+@query("SELECT lid, CASE host WHEN 'host1' THEN 'core1' WHEN 'host2' THEN 'core2' ELSE 'edge' END AS host FROM log WHERE host IN ('host1', 'host2', 'host7')", "log")
+def known_hosts(spark, d):
+    """Lines of known hosts only, under their canonical names."""
+    aliases = spark.createDataFrame(_ALIASES, "name string, host string, grp string, lo long, hi long")
+    return hosts.accept(v.log(spark, d), aliases, True).select("lid", "host")
+
+
+@query("SELECT lid, array_to_string(words[4:], ' ') AS rest FROM log", "log")
+def message_from_word(spark, d):
+    return v.log(spark, d).select("lid", fn.message_from_word(F.concat(F.lit("  "), F.array_join("words", "  ")), 3).alias("rest"))
+
+
+@query(r"SELECT lid, len(words) AS n, words[1] || '\@@x' AS first FROM log", "log")
+def split_escaped(spark, d):
+    """Words joined by a separator, which stands escaped in the first of them, split again."""
+    joined = F.concat(F.element_at("words", 1), F.lit("\\@@x"), F.lit("@@"), F.array_join(F.slice("words", 2, 99), "@@"))
+    parts = fn.split_unescaped(joined)
+    return v.log(spark, d).select("lid", F.size(parts).cast("long").alias("n"), F.element_at(parts, 1).alias("first"))
+
+
+@query("SELECT CAST(t AS TIMESTAMP) AS dt FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:59:59', INTERVAL 90 MINUTE) AS g(t)")
+def regular_times(spark, d):
+    return generate.regular(spark, TOP, END, 5400).select("dt")
+
+
+@query("SELECT term, src, dst FROM edges", "edges")
+def named_edges(spark, d):
+    """Edges between numbered events, by the events' names."""
+    e = v.edges(spark, d).withColumn("area", F.lit("all"))
+    number = lambda c: (F.col(f"{c}.gid") * 100 + F.substring(f"{c}.host", 5, 9).cast("int")).alias(f"{c}_eid")
+    defs = e.select("term", "area", F.col("src").alias("x")).unionByName(e.select("term", "area", F.col("dst").alias("x"))).distinct()
+    defs = defs.select("term", "area", number("x").alias("eid"), "x.*")
+    named = dag.named_edges({"evdef": defs, "edge": e.select("term", "area", number("src"), number("dst"))})
+    return named.select("term", v.name("src").alias("src"), v.name("dst").alias("dst"))
+
+
+@query(_TFIDF + """, c AS (SELECT y.term AS b, sum(x.w * y.w) AS dot, sqrt(sum(y.w * y.w)) AS nb FROM w x JOIN w y ON x.gid = y.gid AND x.host = y.host WHERE x.term = 10 GROUP BY y.term),
+  r AS (SELECT b, CASE WHEN nb > 0 AND na > 0 THEN round(dot / (na * nb), 6) ELSE 0 END AS cosine FROM c, (SELECT sqrt(sum(w * w)) AS na FROM w WHERE term = 10) WHERE abs(b - 10) >= 2)
+  SELECT count(*) AS blocks, max(cosine) AS best FROM (SELECT * FROM r ORDER BY cosine DESC, b LIMIT 20)""", "log")
+def nearest_apart(spark, d):
+    """The twenty blocks of three hours most like one, each taken as six hours long, without those that overlap it."""
+    weights = search.tfidf(_spans(spark, d), "term")
+    start = lambda k: F.timestamp_add("HOUR", F.col("term") * 3 + k, F.lit(str(TOP)).cast("timestamp_ntz"))
+    spans = weights.select("term").distinct().select("term", start(0).alias("top_dt"), start(6).alias("end_dt"))
+    near = search.nearest_blocks(weights, 10, 20, "term", spans)
+    return near.agg(F.count(F.lit(1)).alias("blocks"), F.round(F.max("cosine"), 6).alias("best"))
+
+
 # --- one-pass queries over the large fact table ---
 
 
