@@ -326,13 +326,16 @@ def unlike(rows: DataFrame, keys: int = 4) -> DataFrame:
                 first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
                 for k in range(keys if len(doc) else 0):
                     low[k, doc[first]] = np.minimum.reduceat(mix(key + np.uint64(k * 0x1851F42D4C957F2D)), first).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in low)], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(x) for x in low)], names=names)
 
-    names = ["doc_id", "text", "toxic", *(f"k{k}" for k in range(keys))]
-    out = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(run, "doc_id long, text string, toxic int, " + ", ".join(f"k{k} long" for k in range(keys)))
+    names = ["doc_id", "own", "toxic", *(f"k{k}" for k in range(keys))]
+    rows = rows.withColumn("own", F.xxhash64("text"))
+    out = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "own", "toxic", "text").mapInArrow(run, "doc_id long, own long, toxic int, " + ", ".join(f"k{k} long" for k in range(keys)))
     for k in range(keys):
-        out = out.groupBy(f"k{k}", "toxic").agg(F.min(F.struct("doc_id", "text", *(f"k{j}" for j in range(keys) if j != k))).alias("s")).select(f"k{k}", "toxic", "s.*")
-    return out.select("text", "toxic")
+        out = out.groupBy(f"k{k}", "toxic").agg(F.min(F.struct("doc_id", "own", *(f"k{j}" for j in range(keys) if j != k))).alias("s")).select(f"k{k}", "toxic", "s.*")
+    # the sample's ids are few, so they, not the texts, are sent around
+    kept = out.select(F.col("doc_id").alias("__id"), F.col("own").alias("__own"))
+    return rows.join(F.broadcast(kept), (F.col("doc_id") == F.col("__id")) & (F.col("own") == F.col("__own"))).dropDuplicates(["doc_id", "own"]).select("text", "toxic")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
