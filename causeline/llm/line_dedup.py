@@ -223,7 +223,8 @@ def probed(docs: DataFrame, filters: DataFrame, size: int, min_chars: int, shard
     """Postings of ``docs`` that the filters, ``size`` bytes in all, may hold."""
     if size > FILTER_BROADCAST_BYTES:
         return probe(postings(docs, min_chars), filters, shards)
-    held = docs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in filters.toLocalIterator()})
+    blobs = filters.collect()  # at most FILTER_BROADCAST_BYTES, and one job builds all shards side by side
+    held = docs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in blobs})
     return postings(docs, min_chars, held, shards)
 
 
