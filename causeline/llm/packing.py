@@ -18,9 +18,8 @@ packed under a null one; other columns are ignored.
 from __future__ import annotations
 
 import json
-import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,8 @@ from ._spark import SLICE_BYTES, cut, slices, small_batches, text_column
 SIZE, END_ID = 4096, 1
 #: Words and bytes in the newer of two caches, about; as many may be in the older one. Longer words than ``CACHE_LONGEST`` characters are not kept.
 CACHE_WORDS, CACHE_BYTES, CACHE_LONGEST = 200_000, 32 << 20, 256
-_PLAIN = re.compile(r"[!-~\u00a1-\u00ff]+").fullmatch
+#: Words of printable Latin-1 letters.
+_PLAIN = "^[!-~\u00a1-\u00ff]+$"
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -60,7 +60,7 @@ class WordTokenizer:
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         ours = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]
-        self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if ours else None
+        self.pattern = regex.compile(f"(?:{steps[0]['pattern']['Regex']})| ") if ours else None
         self.byte_char = {b: chr(c) for b, c in _byte_chars().items()}
         self.clear()
 
@@ -82,28 +82,44 @@ class WordTokenizer:
         ids = self.old_pre.get(p)
         if ids is None:
             own = p if p.isascii() else "".join([self.byte_char[b] for b in p.encode()])
-            ids = struct.pack(f"<{len(k := [t.id for t in self.model.tokenize(own)])}I", *k)
+            ids = array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
         if len(p) <= CACHE_LONGEST:
             self.pre[p] = ids
             self.pre_bytes += 100 + 5 * len(p)
         return ids
 
-    def learn(self, new: set[str]) -> None:
-        odd = []
+    def learn(self, new: list[str]) -> None:
+        """Ids of words that aren't in the newer cache. Plain words are split as one text, in which a space ends each."""
         words, old = self.words, self.old_words.get
-        pre, find = self.pre, self.pattern and self.pattern.findall
+        unseen = []
         for w in new:
             if (ids := old(w)) is not None:
                 words[w] = ids
-            elif find and _PLAIN(w):
-                words[w] = b"".join([pre.get(p) or self.pre_token(p) for p in find(w.lower())])
             else:
-                odd.append(w)
+                unseen.append(w)
+        odd = unseen
+        if self.pattern and unseen:
+            plain = pc.match_substring_regex(pa.array(unseen, pa.string()), _PLAIN).to_pylist()
+            odd = [w for w, ok in zip(unseen, plain) if not ok]
+            self.split([w for w, ok in zip(unseen, plain) if ok])
         for k in range(0, len(odd), 20_000):
             part = odd[k : k + 20_000]
             for w, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False)):
                 words[w] = np.array(e.ids, np.uint32).tobytes()
 
+    def split(self, plain: list[str]) -> None:
+        words, pre, unseen = self.words, self.pre.get, self.pre_token
+        for k in range(0, len(plain), 20_000):
+            part = plain[k : k + 20_000]
+            each, ids = iter(part), b""
+            for p in self.pattern.findall(" ".join([*part, ""]).lower()):
+                if p == " ":
+                    words[next(each)] = ids
+                    ids = b""
+                else:
+                    own = pre(p) or unseen(p)
+                    ids = ids + own if ids else own
+
     def encode(self, col: pa.Array) -> list[np.ndarray]:
         """Ids of each text. Words are told apart by Arrow, so that Python meets each once, and ids are gathered as arrays."""
         self.turn()
@@ -111,22 +127,26 @@ class WordTokenizer:
         coded = lists.flatten().dictionary_encode()
         own = coded.dictionary.to_pylist()
         found = list(map(self.words.get, own))
-        new = {w for w, ids in zip(own, found) if ids is None}
+        new = [k for k, ids in enumerate(found) if ids is None]
         if new:
-            self.learn(new)
-            found = list(map(self.words.get, own))
-            for w in new:
-                if len(w) > CACHE_LONGEST:
-                    del self.words[w]
-                else:
-                    self.word_bytes += 100 + 5 * len(w)
+            fresh = [own[k] for k in new]
+            self.learn(fresh)
+            for k, w in zip(new, fresh):
+                found[k] = self.words[w]
+            kept = [n for n in map(len, fresh) if n <= CACHE_LONGEST]
+            self.word_bytes += 100 * len(kept) + 5 * sum(kept)
+            if len(kept) < len(fresh):
+                for w in fresh:
+                    if len(w) > CACHE_LONGEST:
+                        del self.words[w]
         pool = np.frombuffer(b"".join(found), np.uint32)
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(size) - size
         codes = coded.indices.to_numpy()
         n = size[codes]
         upto = np.r_[0, np.cumsum(n)]
-        ids = pool[np.repeat(start[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        kind = np.int32 if upto[-1] < 1 << 31 else np.int64
+        ids = pool[np.repeat((start[codes] - upto[:-1]).astype(kind), n) + np.arange(upto[-1], dtype=kind)]
         edge = lists.offsets.to_numpy()
         edge = upto[edge - edge[0]]
         out = [ids[i:j] for i, j in zip(edge[:-1], edge[1:])]
