@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import WILDCARD, matches_template, ngrams
@@ -166,20 +166,37 @@ def frequent_words(log: DataFrame, share: float = 0.6) -> DataFrame:
 # --- given templates ---
 
 
+#: Templates of at most so many characters in all are broadcast; more are joined by shuffles, whose hot words are left to adaptive skew splitting.
+MOST_CHARS = 2_000_000
+
+
+def _keyed(templates: DataFrame) -> DataFrame:
+    """(tid, tpl, n, at, lit): templates with their length and their first literal with its place from 1; 0 and no text if there is none."""
+    t = templates.select("tid", "tpl", F.size("tpl").alias("n"), F.expr(f"array_position(transform(tpl, x -> x <> '{WILDCARD}'), true)").cast("int").alias("at"))
+    return t.filter("at is not null").withColumn("lit", F.when(F.col("at") > 0, F.get("tpl", F.col("at") - 1)).otherwise(""))
+
+
+def _handed(t: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How templates are handed to a join."""
+    chars = t.agg(F.coalesce(F.sum(F.length(F.array_join("tpl", " ", ""))), F.lit(0)).alias("c")).first()["c"]
+    return F.broadcast if chars <= MOST_CHARS else lambda df: df
+
+
 def match_templates(log: DataFrame, templates: DataFrame) -> DataFrame:
     """(lid, tid) by the given (tid, tpl); of several, the one that is literal at the earliest place where they differ (M5, M6).
 
-    Lines join templates on length and on the template's first literal with its place, so that a line meets only
-    templates that share a word with it; templates of wildcards alone join on length.
+    Lines join templates on length and on the template's first literal with its place, so that a line meets only templates that share a word
+    with it; templates of wildcards alone join on length. A line comes once for each place that its length's templates have. Up to
+    ``MOST_CHARS`` of templates it is matched where it was read, and only numbers are shuffled.
     """
-    t = templates.select("tid", "tpl", F.size("tpl").alias("n"), F.expr(f"array_position(transform(tpl, x -> x <> '{WILDCARD}'), true)").alias("at"))
-    t = t.withColumn("lit", F.when(F.col("at") > 0, F.element_at("tpl", F.greatest(F.col("at"), F.lit(1)).cast("int"))))
-    rows = log.select("lid", "words", F.size("words").alias("n"))
-    each = rows.select("*", F.posexplode("words").alias("p", "w"))
-    by_word = each.join(t.filter("at > 0"), (each["n"] == t["n"]) & (each["w"] == t["lit"]) & (each["p"] + 1 == t["at"])).select("lid", "words", "tid", "tpl")
-    wild = rows.join(t.filter("at = 0"), "n").select("lid", "words", "tid", "tpl")
+    t = _keyed(templates)
+    handed = _handed(t)
     rank = F.transform("tpl", lambda x: F.when(x == WILDCARD, 1).otherwise(0))
-    return by_word.unionByName(wild).filter(matches_template(F.col("words"), F.col("tpl"))).groupBy("lid").agg(F.min_by("tid", F.struct(rank, "tid")).alias("tid"))
+    t = t.withColumn("order", F.shiftleft(F.col("n").cast("long"), 32) + F.row_number().over(Window.partitionBy("n").orderBy(rank, "tid")))
+    rows = log.select("lid", "words", F.size("words").alias("n")).join(handed(t.select("n", "at").distinct()), "n")
+    rows = rows.withColumn("lit", F.when(F.col("at") > 0, F.get("words", F.col("at") - 1)).otherwise(""))
+    found = rows.join(handed(t), ["n", "at", "lit"]).filter(matches_template(F.col("words"), F.col("tpl")))
+    return found.groupBy("lid").agg(F.min_by("tid", "order").alias("tid"))
 
 
 def unmatched(log: DataFrame, templates: DataFrame) -> DataFrame:

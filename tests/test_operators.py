@@ -260,3 +260,34 @@ def test_change_point_peaks_at_the_change(spark):
     assert scores.count() == 599  # the open bin is left out
     top = changepoint.strongest(scores.filter("bin > 50"), 1).first()
     assert 295 <= top.bin <= 330
+
+
+def _random_match(spark):
+    """Templates whose first literals stand at 12 places, lines, and what the trie finds of them."""
+    rng = np.random.default_rng(3)
+    draw = lambda p: [str(w) for w in rng.choice(["a", "b", "c", "", "**"], int(rng.integers(1, 13)), p=p)]
+    tpls = {tuple(draw([0.15, 0.1, 0.1, 0.05, 0.6])) for _ in range(150)} | {("**",) * p + ("a",) + ("**",) * (11 - p) for p in range(12)} | {()}
+    tpls = [list(t) for t in sorted(tpls)]
+    lines = [draw([0.4, 0.2, 0.2, 0.1, 0.1]) for _ in range(400)] + [[], ["only"]]
+    trie = tp.TemplateTrie()
+    for k, t in enumerate(tpls):
+        trie.add(t, k)
+    log = spark.createDataFrame([*enumerate(lines), (len(lines), None)], "lid long, words array<string>")
+    given = spark.createDataFrame([*enumerate(tpls), (900, None)], "tid int, tpl array<string>")
+    return log, given, tpls, lines, {k: trie.search(x) for k, x in enumerate(lines)}
+
+
+@pytest.mark.parametrize("most_chars", [2_000_000, 0])
+def test_matching_as_the_trie_does(spark, monkeypatch, most_chars):
+    monkeypatch.setattr(tp, "MOST_CHARS", most_chars)
+    log, given, _, _, want = _random_match(spark)
+    assert {r.lid: r.tid for r in tp.match_templates(log, given).collect()} == {k: v for k, v in want.items() if v is not None}
+
+
+def test_matching_shuffles_no_words(spark):
+    """Lines are neither taken apart by word nor shuffled or sorted with their words, which took the memory on larger tables."""
+    log = spark.range(1000).select(F.col("id").alias("lid"), F.split(F.concat(F.lit("login of "), F.col("id").cast("string")), " ").alias("words"))
+    given = spark.createDataFrame([(0, ["login", "of", "**"]), (1, ["login", "**", "1"])], "tid int, tpl array<string>")
+    plan = tp.match_templates(log, given)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortAggregate" not in plan and "SortMergeJoin" not in plan
+    assert [r.tid for r in tp.match_templates(log, given).collect()] == [0] * 1000
