@@ -169,6 +169,9 @@ def frequent_words(log: DataFrame, share: float = 0.6) -> DataFrame:
 #: Templates of at most so many characters in all are broadcast; more are joined by shuffles, whose hot words are left to adaptive skew splitting.
 MOST_CHARS = 2_000_000
 
+#: So many places of first literals, the commonest, get an anti-join of their own; the templates of all others are met by length.
+MOST_PLACES = 8
+
 
 def _keyed(templates: DataFrame) -> DataFrame:
     """(tid, tpl, n, at, lit): templates with their length and their first literal with its place from 1; 0 and no text if there is none."""
@@ -176,10 +179,11 @@ def _keyed(templates: DataFrame) -> DataFrame:
     return t.filter("at is not null").withColumn("lit", F.when(F.col("at") > 0, F.get("tpl", F.col("at") - 1)).otherwise(""))
 
 
-def _handed(t: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """How templates are handed to a join."""
-    chars = t.agg(F.coalesce(F.sum(F.length(F.array_join("tpl", " ", ""))), F.lit(0)).alias("c")).first()["c"]
-    return F.broadcast if chars <= MOST_CHARS else lambda df: df
+def _places(t: DataFrame) -> tuple[list[int], Callable[[DataFrame], DataFrame]]:
+    """The commonest places of first literals, and how templates are handed to a join."""
+    rows = t.groupBy("at").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length(F.array_join("tpl", " ", ""))).alias("chars")).collect()
+    common = sorted((r for r in rows if r["at"]), key=lambda r: (-r["k"], r["at"]))[:MOST_PLACES]
+    return [r["at"] for r in common], F.broadcast if sum(r["chars"] for r in rows) <= MOST_CHARS else lambda df: df
 
 
 def match_templates(log: DataFrame, templates: DataFrame) -> DataFrame:
@@ -190,7 +194,7 @@ def match_templates(log: DataFrame, templates: DataFrame) -> DataFrame:
     ``MOST_CHARS`` of templates it is matched where it was read, and only numbers are shuffled.
     """
     t = _keyed(templates)
-    handed = _handed(t)
+    _, handed = _places(t)
     rank = F.transform("tpl", lambda x: F.when(x == WILDCARD, 1).otherwise(0))
     t = t.withColumn("order", F.shiftleft(F.col("n").cast("long"), 32) + F.row_number().over(Window.partitionBy("n").orderBy(rank, "tid")))
     rows = log.select("lid", "words", F.size("words").alias("n")).join(handed(t.select("n", "at").distinct()), "n")
@@ -200,8 +204,14 @@ def match_templates(log: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def unmatched(log: DataFrame, templates: DataFrame) -> DataFrame:
-    """Lines that match no template (M7, K8)."""
-    return log.join(match_templates(log, templates).select("lid"), "lid", "left_anti")
+    """Lines that match no template (M7, K8), each looked at by itself, whatever its ``lid``."""
+    t = _keyed(templates).select("at", F.col("n").alias("__n"), F.col("lit").alias("__lit"), F.col("tpl").alias("__tpl"))
+    places, handed = _places(_keyed(templates))
+    fits = (F.size("words") == F.col("__n")) & matches_template(F.col("words"), F.col("__tpl"))
+    out = log
+    for p in places:
+        out = out.join(handed(t.filter(F.col("at") == p).drop("at")), (F.get("words", F.lit(p - 1)) == F.col("__lit")) & fits, "left_anti")
+    return out.join(handed(t.filter(~F.col("at").isin(places)).drop("at", "__lit")), fits, "left_anti")
 
 
 class TemplateTrie:

@@ -291,3 +291,21 @@ def test_matching_shuffles_no_words(spark):
     plan = tp.match_templates(log, given)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "SortAggregate" not in plan and "SortMergeJoin" not in plan
     assert [r.tid for r in tp.match_templates(log, given).collect()] == [0] * 1000
+
+
+@pytest.mark.parametrize("most_chars", [2_000_000, 0])
+def test_unmatched_as_the_trie_does(spark, monkeypatch, most_chars):
+    monkeypatch.setattr(tp, "MOST_CHARS", most_chars)
+    log, given, tpls, lines, want = _random_match(spark)
+    assert {r.lid for r in tp.unmatched(log, given).collect()} == {k for k, v in want.items() if v is None} | {len(lines)}
+    for some in (given.filter("false"), given.filter("forall(tpl, x -> x = '**')")):
+        lengths = {len(tpls[r.tid]) for r in some.filter("tid < 900").collect()}
+        assert {r.lid for r in tp.unmatched(log, some).collect()} == {k for k, x in enumerate(lines) if len(x) not in lengths} | {len(lines)}
+
+
+def test_unmatched_looks_at_each_line(spark):
+    """Lines of one number, or of none, are looked at by themselves, and no line is shuffled for it."""
+    log = spark.createDataFrame([(1, ["a", "b"]), (1, ["x"]), (None, ["a", "c"]), (2, ["y"])], "lid long, words array<string>")
+    out = tp.unmatched(log, spark.createDataFrame([(0, ["a", "**"])], "tid int, tpl array<string>"))
+    assert sorted((r.lid, r.words) for r in out.collect()) == [(1, ["x"]), (2, ["y"])]
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
