@@ -200,10 +200,15 @@ def nearest_graphs(edges: DataFrame, term: int, k: int = 20, by: str = "ged", ig
     return similar_graphs(edges, ignore_direction, weighted).filter((F.col("t1") == term) & (F.col("t2") != term)).orderBy(F.col(by).asc_nulls_last(), "t2").limit(k)
 
 
+def share(part, whole):
+    """The quotient as a double; not a number for nothing of nothing, as in the SQL."""
+    return F.when(whole != 0, part / whole).otherwise(float("nan"))
+
+
 def overlap(one: DataFrame, two: DataFrame, directed: bool | None = None, across_host: bool = False) -> DataFrame:
     """Common and all edges of two sets of graphs, with Jaccard, Dice and Simpson indices.
 
-    directed: True only directed edges, False only undirected ones, None all as adjacent pairs.
+    directed: True only directed edges, False only undirected ones, None all as adjacent pairs. Indices of sets without edges aren't numbers.
     """
 
     def pick(e: DataFrame) -> DataFrame:
@@ -216,7 +221,8 @@ def overlap(one: DataFrame, two: DataFrame, directed: bool | None = None, across
 
     both = pick(one).withColumn("x", F.lit(1)).join(pick(two).withColumn("y", F.lit(1)), ["term", "a", "b", "forward"], "full")
     n = both.agg(F.count("x").alias("n1"), F.count("y").alias("n2"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n_common"), F.count(F.lit(1)).alias("n_all"))
-    return n.select("*", (F.col("n_common") / F.col("n_all")).alias("jaccard"), (2 * F.col("n_common") / (F.col("n1") + F.col("n2"))).alias("dice"), (F.col("n_common") / F.least("n1", "n2")).alias("simpson"))
+    c = F.col("n_common")
+    return n.select("*", share(c, F.col("n_all")).alias("jaccard"), share(2 * c, F.col("n1") + F.col("n2")).alias("dice"), share(c, F.least("n1", "n2")).alias("simpson"))
 
 
 def common_edges(edges: DataFrame, t1: int, t2: int) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from causeline.operators import graph
 from causeline.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +54,20 @@ def test_others_give_the_same_rows_again(spark, name):
         assert rows() == once
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("name", ["edge_overlap_stats"])
+def test_same_rows_without_edges(spark, tmp_path, name):
+    """One event has no partner, so that the graphs are empty, as they are where all events happen in every hour."""
+    spark.read.parquet(f"{SF}/events.parquet").limit(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    cur = c.execute(q.SQL[name])
+    cols = [x[0] for x in cur.description]
+    assert [repr([abs(r[x]) if isinstance(r[x], float) else r[x] for x in cols]) for r in q.QUERIES[name](spark, str(tmp_path)).collect()] == [repr([abs(x) if isinstance(x, float) else x for x in r]) for r in cur.fetchall()]
+
+
+def test_overlap_of_one_empty_set(spark):
+    edges = spark.createDataFrame([(0, (0, "a"), (0, "b"))], "term long, src struct<gid:int,host:string>, dst struct<gid:int,host:string>")
+    o = graph.overlap(edges, edges.filter("false")).first()
+    assert (o.n1, o.n2, o.n_common, o.n_all, o.jaccard, o.dice) == (1, 0, 0, 1, 0, 0) and math.isnan(o.simpson)
