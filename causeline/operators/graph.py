@@ -15,6 +15,11 @@ def key(gid: str = "gid", host: str = "host"):
     return F.struct(F.col(gid).alias("gid"), F.col(host).alias("host"))
 
 
+def share(part, whole):
+    """The quotient as a double; not a number for nothing of nothing, as in the SQL."""
+    return F.when(whole != 0, part / whole).otherwise(float("nan"))
+
+
 def adjacency(edges: DataFrame, *by: str) -> DataFrame:
     """(by, a, b, directed, forward): unordered pairs, a < b (P15). forward: the edge a -> b is there."""
     by = by or ("term",)
@@ -48,10 +53,9 @@ def graph_summary(edges: DataFrame) -> DataFrame:
 
 
 def totals(edges: DataFrame) -> DataFrame:
-    """Sums over all graphs with shares."""
-    return graph_summary(edges).agg(
-        F.sum("n_nodes").alias("n_nodes"), F.sum("n_edges").alias("n_edges"), F.sum("n_directed").alias("n_directed"), F.sum("n_across").alias("n_across"), (F.sum("n_directed") / F.sum("n_edges")).alias("directed_share")
-    )
+    """Sums over all graphs with shares (A15); zeros, and a share that is not a number, if there are no edges."""
+    n = graph_summary(edges).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_nodes", "n_edges", "n_directed", "n_across")])
+    return n.withColumn("directed_share", share(F.col("n_directed"), F.col("n_edges")))
 
 
 def touching(edges: DataFrame, gid: int) -> DataFrame:
@@ -200,11 +204,6 @@ def nearest_graphs(edges: DataFrame, term: int, k: int = 20, by: str = "ged", ig
     return similar_graphs(edges, ignore_direction, weighted).filter((F.col("t1") == term) & (F.col("t2") != term)).orderBy(F.col(by).asc_nulls_last(), "t2").limit(k)
 
 
-def share(part, whole):
-    """The quotient as a double; not a number for nothing of nothing, as in the SQL."""
-    return F.when(whole != 0, part / whole).otherwise(float("nan"))
-
-
 def overlap(one: DataFrame, two: DataFrame, directed: bool | None = None, across_host: bool = False) -> DataFrame:
     """Common and all edges of two sets of graphs, with Jaccard, Dice and Simpson indices.
 
