@@ -71,7 +71,7 @@ def event_label_counts(events: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def edge_label_counts(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Endpoints of each label: all, directed, within the label; and their total.
+    """Endpoints of each label: all, directed, within the label; and their total, also of no edges.
 
     ``edges``: unordered (term, a_gid, a_host, b_gid, b_host, directed).
     """
@@ -79,8 +79,11 @@ def edge_label_counts(edges: DataFrame, labels: DataFrame) -> DataFrame:
     lb = labels.select(F.col("ltgid").alias("b_gid"), F.col("label").alias("b_label"))
     both = edges.join(la, "a_gid", "left").join(lb, "b_gid", "left")
     ends = both.select(F.explode(F.array("a_label", "b_label")).alias("label"), "directed", F.col("a_label").eqNullSafe(F.col("b_label")).alias("within"))
-    ends = ends.withColumn("label", F.coalesce("label", F.lit("none")))
-    out = ends.rollup("label").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("directed").alias("n_directed"), F.count_if("within").alias("n_within"))
+    ends = ends.select(F.coalesce("label", F.lit("none")).alias("label"), "directed", "within", F.lit(True).alias("__end"))
+    # a row that counts nowhere: of no rows at all a rollup would have no total
+    ends = ends.unionByName(edges.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in ends.schema]))
+    out = ends.rollup("label").agg(F.count("__end").alias("n_all"), F.count_if("directed").alias("n_directed"), F.count_if("within").alias("n_within"), F.grouping("label").alias("__total"))
+    out = out.filter((F.col("__total") == 1) | F.col("label").isNotNull()).drop("__total")
     return out.withColumn("label", F.coalesce("label", F.lit("total")))
 
 

@@ -56,7 +56,7 @@ def test_others_give_the_same_rows_again(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-@pytest.mark.parametrize("name", ["edge_overlap_stats", "graph_totals"])
+@pytest.mark.parametrize("name", ["edge_overlap_stats", "graph_totals", "edge_label_total"])
 def test_same_rows_without_edges(spark, tmp_path, name):
     """One event has no partner, so that the graphs are empty, as they are where all events happen in every hour."""
     spark.read.parquet(f"{SF}/events.parquet").limit(1).write.parquet(f"{tmp_path}/events.parquet")
