@@ -15,7 +15,7 @@ from ..operators import causal, changepoint, edit, events as ev, graph, labels a
 from ..sources import files, generate, hosts, store
 from ..streaming import streams
 from . import dag, ingest, views as v
-from .checkpoint import shared_folder
+from .checkpoint import cut, shared_folder
 from .views import END, HOUR, TOP, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -496,7 +496,7 @@ def graph_distances_weighted(spark, d):
   c AS (SELECT count(p) AS n1, count(q) AS n2, count(*) FILTER (WHERE p = 1 AND q = 1) AS n_common, count(*) AS n_all FROM n)
   SELECT *, round(n_common / n_all, 6) AS jaccard, round(2 * n_common / (n1 + n2), 6) AS dice, round(n_common / least(n1, n2), 6) AS simpson FROM c""", "pairs")
 def edge_overlap_stats(spark, d):
-    e = v.edges(spark, d).filter("term < 4")
+    e = cut(v.edges(spark, d).filter("term < 4"))  # else each side reads and tests the events again
     side = lambda k: e.filter(F.col("term") % 2 == k).withColumn("term", F.floor(F.col("term") / 2))
     out = graph.overlap(side(0), side(1))
     return out.withColumns({c: F.round(c, 6) for c in ("jaccard", "dice", "simpson")})

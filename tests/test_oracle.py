@@ -71,3 +71,8 @@ def test_overlap_of_one_empty_set(spark):
     edges = spark.createDataFrame([(0, (0, "a"), (0, "b"))], "term long, src struct<gid:int,host:string>, dst struct<gid:int,host:string>")
     o = graph.overlap(edges, edges.filter("false")).first()
     assert (o.n1, o.n2, o.n_common, o.n_all, o.jaccard, o.dice) == (1, 0, 0, 1, 0, 0) and math.isnan(o.simpson)
+
+
+def test_overlap_reads_events_once(spark):
+    """Both sides come from edges that were made before, not from the events each."""
+    assert "parquet" not in q.QUERIES["edge_overlap_stats"](spark, SF)._jdf.queryExecution().executedPlan().toString()
